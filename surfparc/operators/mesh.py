@@ -98,22 +98,27 @@ def unfolded_edges(faces: DataFrame, vertices: DataFrame, keys: Sequence[str]) -
         .filter(F.col("_c") == 2)
         .select(*keys, "lo", "hi", F.col("_a.third").alias("base"), F.col("_b.third").alias("far"))
     )
-    for name in ("lo", "hi", "base", "far"):
-        side = vertices.select(*keys, F.col("v").alias(name), F.array("x", "y", "z").cast("array<double>").alias(f"_{name}"))
-        two = two.join(side, [*keys, name])
-    pt = {k: tuple(F.col(f"_{k}")[i] for i in range(3)) for k in ("lo", "hi", "base", "far")}
-    edge = minus(pt["hi"], pt["lo"])
-    two = two.withColumn("_len", F.sqrt(inner(edge, edge)))
-    hat = tuple(safe_div(e, F.col("_len")) for e in edge)
-    far, base = minus(pt["far"], pt["lo"]), minus(pt["base"], pt["lo"])
+    # One join brings all four corners' coordinates; an aggregation lines them up per edge.
+    roles = ("lo", "hi", "base", "far")
+    role = F.explode(F.array(*[F.struct(F.lit(r).alias("role"), F.col(r).alias("v")) for r in roles])).alias("_r")
+    placed = two.select("*", role).select(*keys, *roles, "_r.role", "_r.v").join(vertices.select(*keys, "v", "x", "y", "z"), [*keys, "v"])
+    pick = [F.max(F.when(F.col("role") == r, F.col(c).cast("double"))).alias(f"_{r}{c}") for r in roles for c in "xyz"]
+    at = placed.groupBy(*keys, *roles).agg(*pick)
+    pt = {r: tuple(F.col(f"_{r}{c}") for c in "xyz") for r in roles}
+    edge, far, base = (minus(pt[r], pt["lo"]) for r in ("hi", "far", "base"))
+    dots = {"_ee": inner(edge, edge), "_ef": inner(edge, far), "_eb": inner(edge, base), "_ff": inner(far, far), "_bb": inner(base, base)}
+    at = at.select(*keys, "base", "far", *[e.alias(k) for k, e in dots.items()]).filter(F.col("_ee") > 0)
     # Along-edge and perpendicular components of both opposite corners, seen from ``lo``.
-    two = two.withColumn("_fa", inner(far, hat)).withColumn("_ba", inner(base, hat))
-    two = two.withColumn("_fp", F.sqrt(F.greatest(F.lit(0.0), inner(far, far) - F.col("_fa") * F.col("_fa"))))
-    two = two.withColumn("_bp", F.sqrt(F.greatest(F.lit(0.0), inner(base, base) - F.col("_ba") * F.col("_ba"))))
-    two = two.withColumn("_cross", F.col("_ba") + (F.col("_fa") - F.col("_ba")) * safe_div(F.col("_bp"), F.col("_bp") + F.col("_fp")))
-    ok = (F.col("_len") > 0) & (F.col("_bp") > 0) & (F.col("_cross") > 0) & (F.col("_cross") < F.col("_len"))
+    length = F.sqrt("_ee")
+    fa, ba = F.col("_ef") / length, F.col("_eb") / length
+    at = at.select(
+        *keys, "base", "far", length.alias("_len"), fa.alias("_fa"), ba.alias("_ba"),
+        F.sqrt(F.greatest(F.lit(0.0), F.col("_ff") - fa * fa)).alias("_fp"), F.sqrt(F.greatest(F.lit(0.0), F.col("_bb") - ba * ba)).alias("_bp"),
+    )
     along, across = F.col("_fa") - F.col("_ba"), F.col("_bp") + F.col("_fp")
-    kept = two.filter(ok).withColumn("w", F.sqrt(along * along + across * across))
+    crossing = F.col("_ba") + along * safe_div(F.col("_bp"), across)
+    ok = (F.col("_bp") > 0) & (crossing > 0) & (crossing < F.col("_len"))
+    kept = at.filter(ok).select(*keys, "base", "far", F.sqrt(along * along + across * across).alias("w"))
     ends = F.array(F.struct(F.col("base").alias("src"), F.col("far").alias("dst")), F.struct(F.col("far").alias("src"), F.col("base").alias("dst")))
     return kept.select(*keys, "w", F.explode(ends).alias("_e")).select(*keys, "_e.src", "_e.dst", "w")
 

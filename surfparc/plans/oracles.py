@@ -7,51 +7,51 @@ def r6(e: str) -> str:
     return f"(case when abs({e}) < 5e-7 then 0::double else round(({e})::double, 6) end)"
 
 
-MESH = """mesh as (
+MESH = """mesh as materialized (
   select vec_id // 250 as sub, vec_id % 250 as v, (vec_id % 250) // 25 as gr, vec_id % 25 as gc, label,
          (vec_id % 25)::double * 10 as x, ((vec_id % 250) // 25)::double * 10 as y, embedding[1]::double * 10 as z,
          case when label = 0 then 1 else 2 end as mars, embedding
   from embeddings)"""
 EMB = "emb as (select sub, v, label, mars, generate_subscripts(embedding, 1) - 1 as d, unnest(embedding)::double as e from mesh)"
-EDGES = """edges as (
+EDGES = """edges as materialized (
   select a.sub, a.v as src, b.v as dst, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) as w
   from mesh a join mesh b on a.sub = b.sub
    and ((a.gr = b.gr and abs(a.gc - b.gc) = 1) or (a.gc = b.gc and abs(a.gr - b.gr) = 1)))"""
-FACES = """faces as (
+FACES = """faces as materialized (
   select a.sub, t.f, t.v0, t.v1, t.v2 from mesh a join mesh b on a.sub = b.sub and b.v = a.v + 26,
     lateral (select unnest([{'f': a.v*2, 'v0': a.v, 'v1': a.v+1, 'v2': a.v+25}, {'f': a.v*2+1, 'v0': a.v+1, 'v1': a.v+26, 'v2': a.v+25}]) as t)
   where a.gc < 24)"""
-FACE_EDGES = """fedges as (
+FACE_EDGES = """fedges as materialized (
   select q.sub, q.src, q.dst, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) as w from (
     select sub, v0 as src, v1 as dst from faces union select sub, v1, v0 from faces union select sub, v1, v2 from faces
     union select sub, v2, v1 from faces union select sub, v2, v0 from faces union select sub, v0, v2 from faces) q
   join mesh a on a.sub = q.sub and a.v = q.src join mesh b on b.sub = q.sub and b.v = q.dst)"""
-GEOMETRY = """corner as (
+GEOMETRY = """corner as materialized (
   select f.*, a.x x0, a.y y0, a.z z0, b.x x1, b.y y1, b.z z1, c.x x2, c.y y2, c.z z2 from faces f
   join mesh a on a.sub = f.sub and a.v = f.v0 join mesh b on b.sub = f.sub and b.v = f.v1 join mesh c on c.sub = f.sub and c.v = f.v2),
-facen as (
+facen as materialized (
   select sub, v0, v1, v2, (y1-y0)*(z2-z0)-(z1-z0)*(y2-y0) as nx, (z1-z0)*(x2-x0)-(x1-x0)*(z2-z0) as ny, (x1-x0)*(y2-y0)-(y1-y0)*(x2-x0) as nz from corner),
 vn as (
   select sub, v, sum(nx) nx, sum(ny) ny, sum(nz) nz, sum(sqrt(nx*nx+ny*ny+nz*nz)/2)/3 as area
   from (select sub, unnest([v0, v1, v2]) as v, nx, ny, nz from facen) group by 1, 2),
-geom as (
+geom as materialized (
   select sub, v, nx/sqrt(nx*nx+ny*ny+nz*nz) as nx, ny/sqrt(nx*nx+ny*ny+nz*nz) as ny, nz/sqrt(nx*nx+ny*ny+nz*nz) as nz, area from vn)"""
 UNFOLDED = """half as (
   select sub, f, least(v0,v1) lo, greatest(v0,v1) hi, v2 third from faces union all
   select sub, f, least(v1,v2), greatest(v1,v2), v0 from faces union all select sub, f, least(v2,v0), greatest(v2,v0), v1 from faces),
-duo as (select a.sub, a.lo, a.hi, a.third as base, b.third as far from half a join half b on a.sub=b.sub and a.lo=b.lo and a.hi=b.hi and a.f < b.f),
-frame as (
-  select d.sub, base, far, sqrt((h.x-l.x)**2+(h.y-l.y)**2+(h.z-l.z)**2) as len,
-    (h.x-l.x) ex, (h.y-l.y) ey, (h.z-l.z) ez, f.x-l.x fx, f.y-l.y fy, f.z-l.z fz, b.x-l.x bx, b.y-l.y by_, b.z-l.z bz
-  from duo d join mesh l on l.sub=d.sub and l.v=d.lo join mesh h on h.sub=d.sub and h.v=d.hi
-    join mesh f on f.sub=d.sub and f.v=d.far join mesh b on b.sub=d.sub and b.v=d.base),
+duo as materialized (select sub, lo, hi, arg_min(third, f) as base, arg_max(third, f) as far from half group by 1, 2, 3 having count(*) = 2),
+q1 as materialized (select d.*, l.x lx, l.y ly, l.z lz from duo d join mesh l on l.sub=d.sub and l.v=d.lo),
+q2 as materialized (select d.*, h.x-lx ex, h.y-ly ey, h.z-lz ez from q1 d join mesh h on h.sub=d.sub and h.v=d.hi),
+q3 as materialized (select d.*, f.x-lx fx, f.y-ly fy, f.z-lz fz from q2 d join mesh f on f.sub=d.sub and f.v=d.far),
+q4 as materialized (select d.*, b.x-lx bx, b.y-ly by_, b.z-lz bz from q3 d join mesh b on b.sub=d.sub and b.v=d.base),
+frame as (select *, sqrt(ex*ex+ey*ey+ez*ez) as len from q4),
 along as (
   select *, (fx*ex+fy*ey+fz*ez)/len as fa, (bx*ex+by_*ey+bz*ez)/len as ba, fx*fx+fy*fy+fz*fz as ff, bx*bx+by_*by_+bz*bz as bb from frame where len > 0),
 perp as (select *, sqrt(greatest(0, ff-fa*fa)) as fp, sqrt(greatest(0, bb-ba*ba)) as bp from along),
 unfold1 as (
   select sub, base, far, sqrt((fa-ba)*(fa-ba)+(bp+fp)*(bp+fp)) as w from perp
   where bp > 0 and ba+(fa-ba)*bp/(bp+fp) > 0 and ba+(fa-ba)*bp/(bp+fp) < len),
-unfolded as (select sub, base as src, far as dst, w from unfold1 union all select sub, far, base, w from unfold1)"""
+unfolded as materialized (select sub, base as src, far as dst, w from unfold1 union all select sub, far, base, w from unfold1)"""
 THRESH = """ranked as (select sub, e, row_number() over (partition by sub order by e desc) as rk, count(*) over (partition by sub) as n from emb),
 thr as (select sub, e as threshold from ranked where rk = greatest(1, least(n, floor(n * 0.1 + 0.5))))"""
 BITS = """bits as (select emb.sub, v, label, mars, d, case when mars = 2 and e >= threshold then 1 else 0 end as b from emb join thr using (sub)),
@@ -113,7 +113,7 @@ six2 as (select *, nullif(greatest(g0, g1, g2, g3, g4, g5), 0) as top from six),
 central as (select sub, label, coalesce(g0/top, 0) c0, case when g1 <> 0 and g2 = 0 then 1 else coalesce(g1/top, 0) end c1,
    case when g1 = 0 and g2 <> 0 then 1 else coalesce(g2/top, 0) end c2, coalesce(g3/top, 0) c3, coalesce(g4/top, 0) c4, coalesce(g5/top, 0) c5 from six2)"""
 LINKS = f"""{UNFOLDED},
-links as (select sub, src, dst, min(w) as w from (select sub, src, dst, w from fedges union all select sub, src, dst, w from unfolded) group by 1, 2, 3),
+links as materialized (select sub, src, dst, min(w) as w from (select sub, src, dst, w from fedges union all select sub, src, dst, w from unfolded) group by 1, 2, 3),
 near as (select sub, v as src, v as tgt, 0::double as d from mesh union all select sub, src, dst, w from links where w <= 15),
 raww as (select n.sub, src, tgt, exp(-d*d/50) * g.area as w0 from near n join geom g on g.sub=n.sub and g.v=n.tgt join mesh m on m.sub=n.sub and m.v=n.src where m.mars = 2),
 weights as (select r.sub, r.tgt, r.src, r.w0 * o.area / sum(r.w0) over (partition by r.sub, r.src) as w, t.mars as tmars
@@ -256,8 +256,8 @@ ORACLES: dict[str, str] = {
     "gauss_smooth": q(MESH, FACES, FACE_EDGES, GEOMETRY, LINKS, "sm as (select w.sub, w.tgt as v, sum(w.w * m.embedding[2]::double)/sum(w.w) as s from weights w join mesh m on m.sub=w.sub and m.v=w.src where tmars = 2 group by 1, 2)",
       tail=f"select m.sub, m.v, {r6('coalesce(s, 0)')} as value from mesh m left join sm using (sub, v)"),
     "surface_gradient": q(MESH, FACES, FACE_EDGES, GEOMETRY,
-      "at as (select m.sub, m.v, x, y, z, nx, ny, nz, area, m.embedding[2]::double as val from mesh m join geom g on g.sub=m.sub and g.v=m.v where mars = 2)",
-      "e0 as (select s.*, o.x-s.x ox, o.y-s.y oy, o.z-s.z oz, o.area wt, o.val-s.val dv, case when abs(s.nx) > abs(s.ny) then 0 else 1 end sx, case when abs(s.nx) > abs(s.ny) then 1 else 0 end sy from fedges f join at s on s.sub=f.sub and s.v=f.src join at o on o.sub=f.sub and o.v=f.dst)",
+      "here as materialized (select m.sub, m.v, x, y, z, nx, ny, nz, area, m.embedding[2]::double as val from mesh m join geom g on g.sub=m.sub and g.v=m.v where mars = 2)",
+      "e0 as materialized (select s.*, o.x-s.x ox, o.y-s.y oy, o.z-s.z oz, o.area wt, o.val-s.val dv, case when abs(s.nx) > abs(s.ny) then 0 else 1 end sx, case when abs(s.nx) > abs(s.ny) then 1 else 0 end sy from fedges f join here s on s.sub=f.sub and s.v=f.src join here o on o.sub=f.sub and o.v=f.dst)",
       "e1 as (select *, -nz*sy hx, nz*sx hy, nx*sy-ny*sx hz, sqrt(ox*ox+oy*oy+oz*oz) mag, ox*nx+oy*ny+oz*nz rise from e0)",
       "e2 as (select * replace (hx/hl as hx, hy/hl as hy, hz/hl as hz) from (select *, sqrt(hx*hx+hy*hy+hz*hz) hl from e1))",
       "e3 as (select *, ny*hz-nz*hy kx, nz*hx-nx*hz ky, nx*hy-ny*hx kz, case when abs(rise) > 0.035*mag then mag*asin(least(1, greatest(-1, rise/mag)))*mag/rise else mag end as unr from e2)",
