@@ -1,3 +1,10 @@
 """Surface-parcellation analytics expressed as Spark DataFrame jobs."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Task functions carry their helpers along, so executors need no install of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from surfparc.functions.vectors import let
+
 WORD = 64
 
 
@@ -55,4 +57,5 @@ def with_packed_stats(df: DataFrame, words: str, length: int) -> DataFrame:
 
 def normalized(words: Column, length: int) -> Column:
     """Dense normalised row of a frame that went through :func:`with_packed_stats`."""
-    return F.transform(unpack(words, length), lambda b: F.when(b == 1, F.col("value_on")).otherwise(F.col("value_off")))
+    pair = F.struct(F.col("value_on").alias("on"), F.col("value_off").alias("off"))
+    return let(pair, lambda p: F.transform(unpack(words, length), lambda b: F.when(b == 1, p["on"]).otherwise(p["off"])))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,15 @@ def as_double(col: Column | str) -> Column:
     return F.col(col).cast("array<double>") if isinstance(col, str) else col.cast("array<double>")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it inside ``body``, also within its lambdas.
+
+    A column referenced inside a lambda is otherwise inlined by the optimizer and
+    evaluated again for every element.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def vsum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
 
@@ -47,8 +57,7 @@ def safe_div(num: Column, den: Column, other: float | None = 0.0) -> Column:
 
 def unit(a: Column) -> Column:
     """L2-normalise; a zero vector divides by one and stays zero."""
-    n = norm(a)
-    return F.transform(a, lambda x: x / F.when(n > 0.0, n).otherwise(F.lit(1.0)))
+    return let(a, lambda x: let(norm(x), lambda n: F.transform(x, lambda v: v / F.when(n > 0.0, n).otherwise(F.lit(1.0)))))
 
 
 def nan_to_zero(x: Column) -> Column:
@@ -80,26 +89,20 @@ def icosphere_size(order: Column | int) -> Column:
     return (F.lit(10) * F.pow(F.lit(4), F.lit(order) if isinstance(order, int) else order) + 2).cast("long")
 
 
-def zscore_unit(df: DataFrame, src: str, out: str) -> DataFrame:
-    """Demean each series and divide by its root sum of squares.
+def zscored(x: Column) -> Column:
+    """Demean and divide by the root sum of squares; a constant series becomes zeros."""
+    centred = lambda a: let(vsum(a) / F.size(a), lambda m: F.transform(a, lambda v: v - m))
+    return let(as_double(x), lambda a: unit(centred(a)))
 
-    A constant series has no direction and becomes all zeros. The steps are
-    separate projections so the mean and the norm are evaluated once per row.
-    """
-    x = as_double(src)
-    return (
-        df.withColumn("_m", vsum(x) / F.size(src))
-        .withColumn("_c", F.transform(x, lambda v: v - F.col("_m")))
-        .withColumn("_n", norm(F.col("_c")))
-        .withColumn(out, F.transform("_c", lambda v: safe_div(v, F.col("_n"))))
-        .drop("_m", "_c", "_n")
-    )
+
+def zscore_unit(df: DataFrame, src: str, out: str) -> DataFrame:
+    return df.withColumn(out, zscored(F.col(src)))
 
 
 def demean_unit_nonzero(df: DataFrame, src: str, out: str) -> DataFrame:
     """Demean and normalise rows holding any non-zero; all-zero rows pass unchanged."""
-    d = zscore_unit(df.withColumn("_keep", F.exists(as_double(src), lambda v: v != 0.0)), src, "_z")
-    return d.withColumn(out, F.when(F.col("_keep"), F.col("_z")).otherwise(as_double(src))).drop("_keep", "_z")
+    x = as_double(src)
+    return df.withColumn(out, F.when(F.exists(x, lambda v: v != 0.0), zscored(F.col(src))).otherwise(x))
 
 
 def round6(x: Column) -> Column:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from surfparc.functions.vectors import let
 from surfparc.operators.mesh import lattice_edges, with_length
 
 MESH_SIZE = 250
@@ -70,7 +71,8 @@ def day_series(spark: SparkSession, folder: str) -> DataFrame:
     daily = e.groupBy(F.col("event_type").alias("run"), F.col("user_id").alias("v"), day.alias("t")).agg(F.avg("value").alias("x"), F.count(F.lit(1)).alias("n"))
     days = daily.groupBy("run", "v").agg(F.map_from_entries(F.collect_list(F.struct("t", "x"))).alias("_m"))
     n = (last - first).days + 1
-    return days.select("run", "v", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda t: F.coalesce(F.element_at("_m", t), F.lit(0.0))).alias("ts"))
+    filled = let(F.col("_m"), lambda m: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda t: F.coalesce(F.element_at(m, t), F.lit(0.0))))
+    return days.select("run", "v", filled.alias("ts"))
 
 
 def day_flags(spark: SparkSession, folder: str) -> DataFrame:
@@ -81,5 +83,8 @@ def day_flags(spark: SparkSession, folder: str) -> DataFrame:
     n = (last - first).days + 1
     c = e.groupBy(F.col("event_type").alias("run"), F.datediff(F.col("ts").cast("date"), F.lit(first)).alias("t")).agg(F.count(F.lit(1)).alias("n"))
     m = c.groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("t", "n"))).alias("_m"), (F.sum("n") / F.lit(float(n))).alias("_a"))
-    flag = lambda t: F.when(F.coalesce(F.element_at("_m", t), F.lit(0)) >= F.col("_a"), 1).otherwise(0)
-    return m.select("run", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), flag).alias("keep"))
+    flags = let(
+        F.struct("_m", "_a"),
+        lambda s: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda t: F.when(F.coalesce(F.element_at(s["_m"], t), F.lit(0)) >= s["_a"], 1).otherwise(0)),
+    )
+    return m.select("run", flags.alias("keep"))
