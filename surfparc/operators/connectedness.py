@@ -11,6 +11,7 @@ from surfparc.functions.vectors import safe_div
 from surfparc.operators.aggregates import overlap
 from surfparc.operators.graph import boundary_vertices, component_counts, components, remove_isolated
 from surfparc.operators.surface import nearest
+from surfparc.session import cut
 
 
 def component_distance(vertices: DataFrame, edges: DataFrame, comps: DataFrame, keys: Sequence[str], n_labels: int, spacing: float, label: str = "label") -> DataFrame:
@@ -27,7 +28,7 @@ def component_distance(vertices: DataFrame, edges: DataFrame, comps: DataFrame,
         label, F.when(F.col("_many"), F.col(label)).otherwise(0)
     ).drop("_many")
     rim = boundary_vertices(kept, edges, keys, label, fake=2 * n_labels + 1).filter(F.col(label) != 0)
-    pts = rim.join(comps.select(*keys, "v", "comp"), [*keys, "v"]).select(*keys, label, "v", "comp", "x", "y", "z")
+    pts = cut(rim.join(comps.select(*keys, "v", "comp"), [*keys, "v"]).select(*keys, label, "v", "comp", "x", "y", "z"))
     near = nearest(pts, pts.withColumnRenamed("v", "other"), [*keys, label], "v", "other", spacing, apart="comp", settle=["comp"])
     gap = near.join(pts.select(*keys, label, "v", "comp"), [*keys, label, "v"]).groupBy(*keys, label, "comp").agg(F.min("distance").alias("d"))
     far = gap.groupBy(*keys, label).agg(F.max("d").alias("distance"))

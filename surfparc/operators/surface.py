@@ -125,7 +125,7 @@ def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str
 
     Points fall into cubes of side ``r`` and meet only points of the 27 cubes
     around them; whoever has a neighbour within ``r`` is settled, the rest retry
-    with twice the side. ``apart`` names a column whose values have to differ.
+    with four times the side. ``apart`` names a column whose values have to differ.
     Ties go to the lowest id. Left points with no partner at all are left out.
     ``settle`` names columns of a group that only needs its smallest distance: the
     whole group stops searching once one of its points is settled.
@@ -152,17 +152,19 @@ def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str
         d = F.sqrt(sum((F.col(c) - F.col(f"_r{c}")) * (F.col(c) - F.col(f"_r{c}")) for c in xyz))
         best = pairs.groupBy(*keys, left_id).agg(F.min(F.struct(d.alias("d"), F.col("_rid").alias("id"))).alias("_b"))
         last = r > limit
-        done = best if last else best.filter(F.col("_b.d") <= r)
-        done = cut(done.select(*keys, left_id, F.col("_b.id").alias(right_id), F.col("_b.d").alias("distance")))
+        ok = F.col("_b").isNotNull() if last else F.coalesce(F.col("_b.d") <= r, F.lit(False))
+        tried = todo.join(best, [*keys, left_id], "left").withColumn("_ok", ok)
+        if settle:
+            tried = tried.withColumn("_quiet", F.max("_ok").over(W.partitionBy(*keys, *[g for g in settle if g not in keys])))
+        else:
+            tried = tried.withColumn("_quiet", F.col("_ok"))
+        tried = cut(tried)
+        done = tried.filter("_ok").select(*keys, left_id, F.col("_b.id").alias(right_id), F.col("_b.d").alias("distance"))
         found = done if found is None else found.unionByName(done)
-        if last:
+        todo = tried.filter(~F.col("_quiet")).drop("_b", "_ok", "_quiet")
+        if last or todo.isEmpty():
             return found
-        group = [*keys, *[g for g in settle if g not in keys]] if settle else [*keys, left_id]
-        quiet = todo.join(done, [*keys, left_id], "left_semi").select(*group).distinct()
-        todo = cut(todo.join(quiet, group, "left_anti"))
-        if todo.isEmpty():
-            return found
-        r *= 2.0
+        r *= 4.0
 
 
 def interpolate(targets: DataFrame, vertices: DataFrame, faces: DataFrame, keys: Sequence[str], target: str, values: Sequence[str], spacing: float) -> DataFrame:

@@ -198,6 +198,7 @@ def parcellate(
     y, z)``, ``edges (sub, src, dst)``. Returns ``labels`` and the final tables.
     """
     v = VARIANTS[variant]
+    vertices = vertices.select("sub", "v", "x", "y", "z")
     obs = em.observations(profile)
     sizes = cut(em.block_sizes(obs))
     subs = sizes.select("sub")

@@ -44,9 +44,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: drops lineage and survives executor loss."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the frame to the checkpoint folder and read it back.
+
+    The written table drops all lineage, outlives any executor and carries its real
+    size, so a later join is broadcast only where that size allows it. (An RDD
+    checkpoint would keep the plan's constraints, which pile up over a loop.)
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
