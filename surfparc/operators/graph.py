@@ -26,7 +26,7 @@ def components(vertices: DataFrame, edges: DataFrame, keys: Sequence[str], label
     """Connected components of equal non-zero labels; ``comp`` is the smallest vertex id.
 
     Every round lowers each vertex to the smallest id around it, passes that id
-    on to its current root and follows the root once more, so the number of
+    on to its current root and follows the root's pointer twice, so the number of
     rounds grows with the logarithm of a component's extent. Updates to a root
     are reduced by ``min`` before they shuffle, so one giant component stays cheap.
     """
@@ -44,11 +44,11 @@ def components(vertices: DataFrame, edges: DataFrame, keys: Sequence[str], label
         low = cut(low.select(*keys, "v", label, "comp", "low"))
         if low.filter(F.col("low") < F.col("comp")).isEmpty():
             return low.select(*keys, "v", label, "comp")
-        hooks = low.groupBy(*keys, F.col("comp").alias("root")).agg(F.min("low").alias("to"))
-        # Roots point at the lowest id any member saw; follow that pointer once more.
-        twice = hooks.join(
-            hooks.select(*keys, F.col("root").alias("to"), F.col("to").alias("to2")), [*keys, "to"], "left"
-        ).select(*keys, "root", F.least("to", F.coalesce("to2", "to")).alias("to"))
+        # A root points at the lowest id its members or itself saw; follow the pointer twice.
+        seen = low.select(*keys, F.col("comp").alias("root"), "low").unionByName(low.select(*keys, F.col("v").alias("root"), "low"))
+        point = seen.groupBy(*keys, "root").agg(F.min("low").alias("to"))
+        onward = point.select(*keys, F.col("root").alias("to"), F.col("to").alias("to2"))
+        twice = point.join(onward, [*keys, "to"]).select(*keys, "root", F.least("to", "to2").alias("to"))
         renamed = low.withColumnRenamed("comp", "root")
         state = renamed.join(twice, [*keys, "root"]).select(*keys, "v", label, F.least("low", "to").alias("comp"))
 

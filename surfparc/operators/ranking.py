@@ -97,7 +97,7 @@ def relative_change(df: DataFrame, keys: Sequence[str], order: str, cost: str, t
     prev = F.lag(cost).over(W.partitionBy(*keys).orderBy(order))
     inf, nan = F.lit(float("inf")), F.lit(float("nan"))
     gap = F.abs((F.col(cost) - F.col("previous")) / F.when(F.col("previous") != 0, F.col("previous")))
-    ratio = F.when(F.col("previous") != 0, gap).when(F.col(cost) == 0, nan).otherwise(inf)
+    ratio = F.when(F.isnan(cost) | F.isnan("previous"), nan).when(F.col("previous") != 0, gap).when(F.col(cost) == 0, nan).otherwise(inf)
     return (
         df.withColumn("previous", F.coalesce(prev, F.lit(0.0)))
         .withColumn("ratio", ratio)

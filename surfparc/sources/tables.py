@@ -29,6 +29,8 @@ def write(df: DataFrame, project: str, artifact: str, overwrite: bool = True) ->
 def read(spark: SparkSession, project: str, artifact: str, **where) -> DataFrame:
     """Read one artifact; equality filters on partition columns prune files."""
     df = spark.read.parquet(f"{project}/{artifact}")
+    # Numeric partition ids come back as int; ids are bigint everywhere else.
+    df = df.withColumns({k: F.col(k).cast("long") for k, t in df.dtypes if k in LAYOUT[artifact] and t == "int"})
     for k, v in where.items():
         df = df.filter(F.col(k) == v)
     return df
