@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from surfparc.functions.vectors import zscore_unit
 from surfparc.operators.blocks import block_apply
+from surfparc.session import cut
 
 
 def _types(df: DataFrame, cols: Sequence[str]) -> str:
@@ -49,7 +50,7 @@ def profile_similarity(series: DataFrame, references: DataFrame, columns: DataFr
     share of one mesh. Undefined correlations become zero.
     """
     keys = list(keys)
-    conn = seed_correlation(series, references, keys, vertex, ts)
+    conn = cut(seed_correlation(series, references, keys, vertex, ts))
     chosen = conn.join(columns.select(*keys, vertex).distinct(), [*keys, vertex], "left_semi")
     return seed_correlation(
         conn.withColumnRenamed("corr", "ts_"), chosen.withColumnRenamed("corr", "ts_"), keys, vertex, "ts_"

@@ -22,6 +22,7 @@ from surfparc.operators import em, filters, graph, ledger, mesh, ranking, surfac
 from surfparc.operators.blocks import block_apply
 from surfparc.operators.diffusion import diffusion_map
 from surfparc.plans import group_prior, parcellation
+from surfparc.session import cut
 from surfparc.plans.stand_in import DIM, MESH_SIZE, day_flags, day_series, grid_edges, grid_faces, profile, table
 from surfparc.plans.stand_in import mesh as mesh_table
 
@@ -365,7 +366,7 @@ SEED_ORDER = 1
 
 
 def _seed_corr(spark, folder) -> DataFrame:
-    s = day_series(spark, folder)
+    s = cut(day_series(spark, folder))
     seeds = filters.seed_vertices(s.withColumn("mars", F.lit(2)), "v", "mars", SEED_ORDER)
     return cor.seed_correlation(s, seeds, ["run"], "v", "ts"), seeds
 
@@ -397,7 +398,7 @@ def session_mean_correlation(spark, folder):
 
 @query
 def fc_similarity(spark, folder):
-    s = day_series(spark, folder)
+    s = cut(day_series(spark, folder))
     refs = filters.random_subset(s, ["run"], "v", 5.0, 1).select("run", "v", "ts")
     cols = filters.random_subset(s, ["run"], "v", 10.0, 2).select("run", "v")
     f = cor.profile_similarity(s, refs, cols, ["run"], "v", "ts")
