@@ -86,12 +86,21 @@ def random_subset(df: DataFrame, keys: Sequence[str], row_id: str, divisor: floa
     """Seeded sample without replacement of ``round(n / divisor)`` rows per key.
 
     Rows are ranked by a digest of their id and the scan number, so the draw is
-    reproducible on any cluster layout. Halves round to even.
+    reproducible on any cluster layout. Halves round to even. Ranking is split by
+    digest prefix: counts per prefix give each one its offset, and only rows that
+    share a prefix are ever sorted together, however many rows a key has.
     """
+    keys = list(keys)
     digest = F.md5(F.concat_ws(":", F.lit(str(scan)), F.col(row_id).cast("string")))
-    order = W.partitionBy(*keys).orderBy(digest, F.col(row_id))
-    n = df.groupBy(*keys).agg(F.bround(F.count(F.lit(1)) / F.lit(float(divisor)), 0).cast("long").alias("_n"))
-    return df.withColumn("draw", F.row_number().over(order)).join(n, list(keys)).filter(F.col("draw") <= F.col("_n")).drop("_n")
+    marked = df.withColumn("_d", digest).withColumn("_p", F.substring("_d", 1, 4))
+    counts = marked.groupBy(*keys, "_p").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.sum("_c").over(W.partitionBy(*keys).orderBy("_p")) - F.col("_c")
+    total = F.sum("_c").over(W.partitionBy(*keys))
+    placed = counts.withColumn("_before", before).withColumn("_n", F.bround(total / F.lit(float(divisor)), 0).cast("long"))
+    needed = placed.filter(F.col("_before") < F.col("_n")).drop("_c")
+    order = W.partitionBy(*keys, "_p").orderBy("_d", row_id)
+    ranked = marked.join(needed, [*keys, "_p"]).withColumn("draw", F.row_number().over(order) + F.col("_before"))
+    return ranked.filter(F.col("draw") <= F.col("_n")).drop("_d", "_p", "_before", "_n")
 
 
 def require_none(df: DataFrame, bad: Column, message: str) -> DataFrame:

@@ -204,13 +204,13 @@ ORACLES: dict[str, str] = {
       "ids as (select run, seed, row_number() over (partition by run order by seed) as pos from (select distinct run, seed from corr))",
       "mm as (select case when run in ('view', 'click') then 'browse' else 'act' end as pair, v, pos, avg(c) as m from corr join ids using (run, seed) group by 1, 2, 3)",
       tail=f"select pair, v as user_id, {r6('sum(m)')} as total from mm group by 1, 2"),
-    "fc_similarity": q(SPAN, DAYS, ZS, "verts as (select distinct run, v from series)", "nn as (select run, count(*) as n from verts group by 1)",
-      "ref as (select run, v from (select verts.*, row_number() over (partition by verts.run order by md5('1:' || v), v) as k, n from verts join nn using (run)) where k <= round_even(n/5.0::double, 0))",
-      "col as (select run, v from (select verts.*, row_number() over (partition by verts.run order by md5('2:' || v), v) as k, n from verts join nn using (run)) where k <= round_even(n/10.0::double, 0))",
-      "fc as (select a.run, a.v, b.v as r, sum(a.z*b.z) as c from zs a join zs b on a.run=b.run and a.t=b.t join ref on ref.run=b.run and ref.v=b.v group by 1, 2, 3)",
+    "fc_similarity": q(SPAN, DAYS, ZS, "verts as (select distinct run, v // 250 as sub, v from series)", "nn as (select run, sub, count(*) as n from verts group by 1, 2)",
+      "ref as (select run, v from (select verts.*, row_number() over (partition by verts.run, verts.sub order by md5('1:' || v), v) as k, n from verts join nn using (run, sub)) where k <= round_even(n/5.0::double, 0))",
+      "col as (select run, v from (select verts.*, row_number() over (partition by verts.run, verts.sub order by md5('2:' || v), v) as k, n from verts join nn using (run, sub)) where k <= round_even(n/10.0::double, 0))",
+      "fc as (select a.run, a.v, b.v as r, sum(a.z*b.z) as c from zs a join zs b on a.run=b.run and a.t=b.t and a.v//250=b.v//250 join ref on ref.run=b.run and ref.v=b.v group by 1, 2, 3)",
       "fcc as (select run, v, r, c - avg(c) over (partition by run, v) as c from fc)",
       "fz as (select run, v, r, case when sqrt(sum(c*c) over (partition by run, v)) = 0 then 0 else c/sqrt(sum(c*c) over (partition by run, v)) end as z from fcc)",
-      tail=f"select a.run, a.v as user_id, b.v as other, {r6('sum(a.z*b.z)')} as similarity from fz a join fz b on a.run=b.run and a.r=b.r join col on col.run=b.run and col.v=b.v group by 1, 2, 3"),
+      tail=f"select a.run, a.v as user_id, b.v as other, {r6('sum(a.z*b.z)')} as similarity from fz a join fz b on a.run=b.run and a.r=b.r and a.v//250=b.v//250 join col on col.run=b.run and col.v=b.v group by 1, 2, 3"),
     "censored_series": q(SPAN, DAYS, "cnt as (select event_type as run, ts::date - (select d0 from span) as t, count(*) as n from events group by 1, 2)",
       "av as (select run, sum(n) / (select n from n_days)::double as a from cnt group by 1)", "keep as (select run, t from cnt join av using (run) where n >= a)",
       tail=f"select s.run, s.v as user_id, count(k.t) as n_kept, {r6('coalesce(sum(case when k.t is not null then s.x end), 0)')} as kept_sum from series s left join keep k on k.run=s.run and k.t=s.t group by 1, 2"),
@@ -292,8 +292,8 @@ ORACLES: dict[str, str] = {
     "cohort_merge": """with old as (select c_custkey as id, c_nationkey as run_id, case when c_acctbal > 0 then 'old-p' || c_custkey end as profile, case when c_acctbal > 3000 then 'old-g' || c_custkey end as gradient from customer where c_custkey % 5 <> 0),
       new as (select c_custkey as id, case when c_mktsegment = 'BUILDING' then -1 else c_nationkey end as run_id, case when c_acctbal > 6000 then 'new-p' || c_custkey end as profile, case when c_acctbal < 1000 then 'new-g' || c_custkey end as gradient from customer where c_custkey % 7 <> 0)
       select new.id, new.run_id, coalesce(new.profile, old.profile) as profile, coalesce(new.gradient, old.gradient) as gradient from new left join old using (id, run_id)""",
-    "cohort_run_id": """select c_nationkey, sha256('{"n_grad_components":100,"seed":"seed","sessions":["' || string_agg(distinct c_mktsegment, '","' order by c_mktsegment) ||
-      '"],"subjects":["' || string_agg(distinct c_custkey::varchar, '","' order by c_custkey::varchar) || '"],"targ":"target"}') as run_id from customer group by 1""",
+    "cohort_run_id": """select l_orderkey, sha256('{"n_grad_components":100,"seed":"seed","sessions":["' || string_agg(distinct l_linenumber::varchar, '","' order by l_linenumber::varchar) ||
+      '"],"subjects":["' || string_agg(distinct l_suppkey::varchar, '","' order by l_suppkey::varchar) || '"],"targ":"target"}') as run_id from lineitem group by 1""",
     "manifest_explode": "select conv_id as sub, turn as sess, trim(role) as lh, length(text)::varchar as rh from conversations",
     "manifest_checks": """select conv_id as sub, turn + 1 as sess, case when max(turn + 1) over (partition by conv_id) <> count(*) over (partition by conv_id) then 1 else 0 end as gap,
       0 as bad_lh, 1 as bad_rh from conversations""",

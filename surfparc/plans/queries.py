@@ -398,12 +398,14 @@ def session_mean_correlation(spark, folder):
 
 @query
 def fc_similarity(spark, folder):
-    s = cut(day_series(spark, folder))
-    refs = filters.random_subset(s, ["run"], "v", 5.0, 1).select("run", "v", "ts")
-    cols = filters.random_subset(s, ["run"], "v", 10.0, 2).select("run", "v")
-    f = cor.profile_similarity(s, refs, cols, ["run"], "v", "ts")
-    ids = cols.groupBy("run").agg(F.sort_array(F.collect_set("v")).alias("ids"))
-    out = f.join(ids, "run").select("run", F.col("v").alias("user_id"), F.explode(F.arrays_zip("ids", "similarity")).alias("_z"))
+    # Users in runs of 250 stand for one subject's mesh, so both samples stay mesh-sized.
+    keys = ["run", "sub"]
+    s = cut(day_series(spark, folder).withColumn("sub", F.floor(F.col("v") / MESH_SIZE)))
+    refs = filters.random_subset(s, keys, "v", 5.0, 1).select(*keys, "v", "ts")
+    cols = filters.random_subset(s, keys, "v", 10.0, 2).select(*keys, "v")
+    f = cor.profile_similarity(s, refs, cols, keys, "v", "ts")
+    ids = cols.groupBy(*keys).agg(F.sort_array(F.collect_set("v")).alias("ids"))
+    out = f.join(ids, keys).select("run", F.col("v").alias("user_id"), F.explode(F.arrays_zip("ids", "similarity")).alias("_z"))
     return rounded(out.select("run", "user_id", F.col("_z.ids").alias("other"), F.col("_z.similarity").alias("similarity")), "similarity")
 
 
@@ -766,8 +768,7 @@ def cohort_merge(spark, folder):
 
 @query
 def cohort_run_id(spark, folder):
-    c = table(spark, folder, "customer").withColumn("id", F.col("c_custkey").cast("string"))
-    return ledger.run_ids(c, ["c_nationkey"], "id", "c_mktsegment", "target", "seed", 100)
+    return ledger.run_ids(table(spark, folder, "lineitem"), ["l_orderkey"], "l_suppkey", "l_linenumber", "target", "seed", 100)
 
 
 @query

@@ -1,4 +1,4 @@
-"""Session construction, lineage cutting and size-checked broadcast."""
+"""Session construction and tables that cut lineage."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def local_session(app: str = "surfparc", cores: str = "8") -> SparkSession:
@@ -57,17 +56,6 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
-    """Hint a broadcast only when a bounded count proves the side is small.
-
-    Beyond the bound the frame is returned unhinted, so the join shuffles and
-    adaptive execution may still split a hot key.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
 def pin(df: DataFrame, by: list[str], buckets: int) -> DataFrame:
     """Write once as a table bucketed by ``by``; later joins and groups on ``by`` read it in place.
 
