@@ -121,7 +121,7 @@ weights as (select r.sub, r.tgt, r.src, r.w0 * o.area / sum(r.w0) over (partitio
 
 
 def q(*ctes: str, tail: str) -> str:
-    rec = "recursive " if any("walk as" in c or "hops as" in c for c in ctes) else ""
+    rec = "recursive " if any("walk as" in c or "hops as" in c or "using key" in c for c in ctes) else ""
     return f"with {rec}" + ",\n".join(ctes) + "\n" + tail
 
 
@@ -216,6 +216,7 @@ ORACLES: dict[str, str] = {
       tail=f"select s.run, s.v as user_id, count(k.t) as n_kept, {r6('coalesce(sum(case when k.t is not null then s.x end), 0)')} as kept_sum from series s left join keep k on k.run=s.run and k.t=s.t group by 1, 2"),
     "concat_hemispheres": q(MESH, EMB, tail=f"select sub, case when v < 125 then 'lh' else 'rh' end as hemi, v, {r6('sum(e)')} as total from emb where label <> 0 group by 1, 2, 3"),
     "wall_zeroing": q(MESH, EMB, tail=f"select sub, v, case when any_value(mars) = 1 then 0 else 1 end as keep, {r6('sum(case when mars = 1 then 0 else e end)')} as total from emb group by 1, 2"),
+    "wall_words_check": q(MESH, EMB, THRESH, BITS, tail="select sub, v, ones from ones"),
     "seed_selection": q(MESH, tail="select sub, v from mesh where v < 42 and mars = 2"),
     "neighbour_filter": q(MESH, EDGES, "ids as (select sub, v, row_number() over (partition by sub order by v) - 1 as id from mesh where mars = 2)",
       tail="select e.sub, a.id as new_src, b.id as new_dst from edges e join ids a on a.sub=e.sub and a.v=e.src join ids b on b.sub=e.sub and b.v=e.dst"),
@@ -310,6 +311,28 @@ ORACLES: dict[str, str] = {
       "gap as (select a.sub, a.label, a.comp, min(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z))) as d from pts a join pts b on a.sub=b.sub and a.label=b.label and a.comp<>b.comp group by 1, 2, 3)",
       "far as (select sub, label, max(d) as d from gap group by 1, 2)", tail=f"select nc.sub, nc.label, nc.n_comp, {r6('coalesce(d, 0)')} as distance from nc left join far using (sub, label)"),
 }
+
+
+def shortest(seeds: str, links: str) -> str:
+    """Keyed recursion keeping the best distance per source and vertex."""
+    return f"""paths(sub, src, v, d) using key (sub, src, v) as ({seeds}
+  union
+  select h.sub, h.src, p.dst, min(h.d + p.w) from paths h join {links} p on p.sub=h.sub and p.src=h.v
+    left join recurring.paths r on r.sub=h.sub and r.src=h.src and r.v=p.dst
+  where h.d + p.w < coalesce(r.d, 1e300::double) group by 1, 2, 3)"""
+
+
+ORACLES["geodesic_distance"] = q(
+    MESH, EDGES,
+    "price as materialized (select e.sub, e.src, e.dst, (abs(a.z) + 0.1::double + abs(b.z) + 0.1::double)/2 as w from edges e join mesh a on a.sub=e.sub and a.v=e.src join mesh b on b.sub=e.sub and b.v=e.dst)",
+    shortest("select sub, v, v, 0::double from mesh", "price"),
+    tail=f"select sub, src, v as pos, {r6('d / max(d) over (partition by sub)')} as distance from paths",
+)
+ORACLES["central_distance"] = q(
+    MESH, EDGES, shortest("select sub, v, v, 0::double from mesh where label in (1, 2)", "edges"),
+    tail=f"""select p.sub, t.label, case when s.label = 1 then 'pre' else 'post' end as side, {r6('avg(d)')} as mean_distance
+      from paths p join mesh s on s.sub=p.sub and s.v=p.src join mesh t on t.sub=p.sub and t.v=p.v where t.label > 0 group by 1, 2, 3""",
+)
 _cd = ORACLES["component_distance"]
 ORACLES["connectedness"] = _cd.replace(
     f"select nc.sub, nc.label, nc.n_comp, {r6('coalesce(d, 0)')} as distance",

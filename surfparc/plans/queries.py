@@ -436,6 +436,13 @@ def wall_zeroing(spark, folder):
     return rounded(z.select("sub", "v", F.col("keep").cast("int").alias("keep"), vsum(F.col("emb")).alias("total")), "total")
 
 
+@query
+def wall_words_check(spark, folder):
+    w = _words(mesh_table(spark, folder)).withColumn("ones", bits.popcount(F.col("words")).cast("bigint"))
+    ok = filters.require_none(w, (F.col("label") == 0) & (F.col("ones") > 0), "wall rows must be empty")
+    return ok.select("sub", "v", "ones")
+
+
 @query
 def seed_selection(spark, folder):
     return filters.seed_vertices(mesh_table(spark, folder), "v", "mars", SEED_ORDER).select("sub", "v")
