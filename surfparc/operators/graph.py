@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from surfparc.operators.blocks import block_apply
 from surfparc.operators.ranking import mode_smallest
@@ -108,20 +109,24 @@ def local_minima(values: DataFrame, neighbours: DataFrame, keys: Sequence[str],
 def potts(cells: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``V[v,l] = sum over neighbours of (row sum - cell of the same parcel)``.
 
-    One pass sends every cell along its edges; both neighbour totals come from
-    aggregations that combine before the shuffle.
+    Every cell travels along its edges and meets the cells of its target vertex in
+    one exchange by vertex; both neighbour totals, and the softmax that follows in
+    an assignment round, then need no further one.
     """
     keys = list(keys)
     shared = [k for k in keys if k in edges.columns]
-    sent = cells.select(*keys, F.col("v").alias("src"), "l", "lam").join(edges.select(*shared, "src", "dst"), [*shared, "src"])
-    per_cell = sent.groupBy(*keys, F.col("dst").alias("v"), "l").agg(F.sum("lam").alias("_same"))
-    per_row = per_cell.groupBy(*keys, "v").agg(F.sum("_same").alias("_all"))
-    return (
-        cells.join(per_row, [*keys, "v"], "left")
-        .join(per_cell, [*keys, "v", "l"], "left")
-        .withColumn("v_potts", F.coalesce("_all", F.lit(0.0)) - F.coalesce("_same", F.lit(0.0)))
-        .drop("_all", "_same")
+    rest = [c for c in cells.columns if c not in (*keys, "v", "l")]
+    kinds = dict(cells.dtypes)
+    own = cells.select(*keys, "v", "l", *rest, F.lit(0.0).alias("_in"), F.lit(True).alias("_own"))
+    sent = (
+        cells.select(*keys, F.col("v").alias("src"), "l", F.col("lam").alias("_in"))
+        .join(edges.select(*shared, "src", "dst"), [*shared, "src"])
+        .select(*keys, F.col("dst").alias("v"), "l", *[F.lit(None).cast(kinds[c]).alias(c) for c in rest], "_in", F.lit(False).alias("_own"))
     )
+    met = own.unionByName(sent).repartition(*keys, "v").groupBy(*keys, "v", "l")
+    same = met.agg(F.sum("_in").alias("_same"), F.max("_own").alias("_own"), *[F.max(c).alias(c) for c in rest])
+    total = same.withColumn("_all", F.sum("_same").over(W.partitionBy(*keys, "v"))).filter("_own")
+    return total.select(*keys, "v", "l", *rest, (F.col("_all") - F.col("_same")).alias("v_potts"))
 
 
 def reach(seeds: DataFrame, edges: DataFrame, keys: Sequence[str], radius: float | None = None, max_rounds: int | None = None) -> DataFrame:
