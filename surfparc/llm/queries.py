@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from surfparc.llm import chat, decontaminate, licenses, sharding
+from surfparc.llm import chat, decontaminate, licenses, packing, sharding
 
 QUERIES = {
     "op3_license_scan": licenses.op3_license_scan,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op6_sharding": sharding.op6_sharding,
+    "op7_packing": packing.op7_packing,
     "op10_chat_formatting": chat.op10_chat_formatting,
 }
 
