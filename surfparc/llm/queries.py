@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from surfparc.llm import chat, decontaminate, licenses, packing, sharding
+from surfparc.llm import chat, decontaminate, langid, licenses, packing, quality, sharding, topk
 
 QUERIES = {
     "op3_license_scan": licenses.op3_license_scan,
     "op4_decontamination": decontaminate.op4_decontamination,
+    "op5_quality": quality.op5_quality,
     "op6_sharding": sharding.op6_sharding,
     "op7_packing": packing.op7_packing,
+    "op8_exact_top_k": topk.op8_exact_top_k,
+    "op9_language_id": langid.op9_language_id,
     "op10_chat_formatting": chat.op10_chat_formatting,
 }
 
 ORACLES = {
     "op3_license_scan": licenses.ORACLE,
     "op4_decontamination": decontaminate.ORACLE,
+    "op8_exact_top_k": topk.ORACLE,
     "op10_chat_formatting": chat.ORACLE,
 }
