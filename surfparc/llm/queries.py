@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from surfparc.llm import chat, decontaminate, langid, licenses, packing, quality, sharding, topk
+from surfparc.llm import chat, decontaminate, langid, licenses, packing, quality, sharding, suffix, topk
 
 QUERIES = {
+    "op1_suffix_dedup": suffix.op1_suffix_dedup,
     "op3_license_scan": licenses.op3_license_scan,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op5_quality": quality.op5_quality,
