@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from surfparc.llm import chat, decontaminate, langid, licenses, packing, quality, sharding, suffix, topk
+from surfparc.llm import chat, decontaminate, jaccard, langid, licenses, packing, quality, sharding, suffix, topk
 
 QUERIES = {
     "op1_suffix_dedup": suffix.op1_suffix_dedup,
+    "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
     "op3_license_scan": licenses.op3_license_scan,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op5_quality": quality.op5_quality,
