@@ -36,5 +36,16 @@ def same_row(left: DataFrame, right: DataFrame, keys: list[str], how: str = "lef
     return left.join(renamed, on, how).drop(*[f"__r_{k}" for k in keys])
 
 
+def masked(docs: DataFrame, key: list[str], *others: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with its key columns under names that clash with no other, then ``others``; and those names."""
+    names = [f"__key{n}" for n in range(len(key))]
+    return docs.select(*[F.col(k).alias(n) for k, n in zip(key, names, strict=True)], *others), names
+
+
+def unmasked(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Key columns under their own names again."""
+    return rows.select(*[F.col(f"__key{n}").alias(k) for n, k in enumerate(key)], *[c for c in rows.columns if not c.startswith("__key")])
+
+
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

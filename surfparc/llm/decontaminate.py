@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from surfparc.llm.common import same_row, small, table, words
+from surfparc.llm.common import masked, same_row, small, table, unmasked, words
 from surfparc.session import cut
 
 WINDOW = 10
@@ -85,11 +85,13 @@ def contamination(docs: DataFrame, items: DataFrame, key: list[str], window: int
     ``key`` must tell texts apart: rows that share key and text count once. Null
     item ids are not listed, but their windows count as hits.
     """
+    own = key
+    docs, key = masked(docs, own, "text")
     hits, wins = contained_windows(docs, items, key, window)
     hits = cut(hits)
     owners = hits.select(*key, "win").distinct().join(wins.select("win", "item_id"), "win")
     listed = owners.groupBy(*key).agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    return same_row(covered_words(hits, key), listed, key)
+    return unmasked(same_row(covered_words(hits, key), listed, key), own)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
