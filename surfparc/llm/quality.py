@@ -91,7 +91,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 0) -> dict:
     x = np.concatenate([pooled(vectors, r, np.array([0, len(r)])) for r in raws])
     y = np.array(labels, float)
     mean, scale = x.mean(0), x.std(0) + 1e-6
-    x = (x - mean) / scale
+    x = standard(x, mean, scale)
     order = rng.permutation(len(y))
     held, train = order[: len(y) // 5], order[len(y) // 5 :]
     p = [rng.normal(0, x.shape[1] ** -0.5, (x.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)]
@@ -109,15 +109,24 @@ def fit(texts: list[str], labels: list[int], seed: int = 0) -> dict:
                 p[k] = p[k] - 0.003 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
     model = {"vectors": vectors, "mean": mean, "scale": scale, "layers": p, "temperature": 1.0}
     if len(held):
-        z = logits(model, x[held] * scale + mean)
+        z = network(p, x[held])
         loss = lambda temp: float(np.mean(np.logaddexp(0, np.where(y[held] > 0.5, -z, z) / temp)))
         model["temperature"] = min(np.geomspace(0.25, 8, 41), key=loss)
     return model
 
 
+def standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Standardised features; what lies far outside the sample is moved to its edge."""
+    return np.clip((x - mean) / scale, -4, 4)
+
+
+def network(layers: list[np.ndarray], x: np.ndarray) -> np.ndarray:
+    w0, b0, w1, b1 = layers
+    return np.tanh(x @ w0 + b0) @ w1 + b1
+
+
 def logits(model: dict, features: np.ndarray) -> np.ndarray:
-    w0, b0, w1, b1 = model["layers"]
-    return np.tanh(((features - model["mean"]) / model["scale"]) @ w0 + b0) @ w1 + b1
+    return network(model["layers"], standard(features, model["mean"], model["scale"]))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int) -> tuple[list[str], list[int]]:
