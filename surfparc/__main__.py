@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from surfparc.plans.pipeline import Pipeline
 
-INPUTS = ("bold", "vertices", "faces", "coarse_vertices", "coarse_faces", "theta", "parcel")
+INPUTS = ("bold", "vertices", "faces", "coarse_vertices", "coarse_faces", "group_vertices", "group_faces", "theta", "parcel")
 
 
 def main() -> None:

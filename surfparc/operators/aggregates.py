@@ -37,6 +37,17 @@ def mean_vectors(df: DataFrame, keys: Sequence[str], vector: str, out: str = "me
     return gather_vectors(long.groupBy(*keys, "pos").agg(F.avg("_x").alias("_s")), keys, "_s", out)
 
 
+def mean_of_few(df: DataFrame, keys: Sequence[str], vector: str, out: str = "mean") -> DataFrame:
+    """Elementwise mean of a handful of vectors per key, such as the runs of one session.
+
+    The vectors travel whole and are added in place; a key's rows must be few by
+    what they are, else ``mean_vectors`` is the way.
+    """
+    few = df.groupBy(*keys).agg(F.collect_list(as_double(vector)).alias("_v"))
+    total = F.aggregate(F.slice("_v", 2, F.size("_v")), F.get("_v", F.lit(0)), lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
+    return few.select(*keys, F.transform(total, lambda t: t / F.size("_v")).alias(out))
+
+
 def bit_sums(df: DataFrame, keys: Sequence[str], words: str) -> DataFrame:
     """Exact integer count of set bits per key and bit position.
 
@@ -144,12 +155,12 @@ def em_cost(cells: DataFrame, keys: Sequence[str], w: float, c: float) -> DataFr
     return cells.groupBy(*keys).agg(F.sum(F.col("lam") * body).alias("cost"))
 
 
-def outer_cost(psi: DataFrame, nu: DataFrame, parcel: DataFrame, dim: int, n_sub: int, n_sessions: int) -> float:
-    """``sigma psi.nu + ST Cdln(sigma) + eps mu.psi + S Cdln(eps)``: three sums, one number."""
-    a = psi.join(nu, ["sub", "l"]).join(parcel, "l").agg(F.sum(F.col("sigma") * dot(F.col("psi"), F.col("nu")))).first()[0]
-    b = psi.join(parcel, "l").agg(F.sum(F.col("eps") * dot(F.col("mu"), F.col("psi")))).first()[0]
-    each = F.sum(cdln_column(F.col("sigma"), dim)) * (n_sub * n_sessions) + F.sum(cdln_column(F.col("eps"), dim)) * n_sub
-    return float(a + b + parcel.agg(each).first()[0])
+def outer_cost(psi: DataFrame, nu: DataFrame, parcel: DataFrame, dim: int, n_sub: int, n_sessions: int) -> DataFrame:
+    """``sigma psi.nu + ST Cdln(sigma) + eps mu.psi + S Cdln(eps)``, summed to one row ``cost``."""
+    near = psi.join(nu, ["sub", "l"]).join(parcel, "l").select((F.col("sigma") * dot(F.col("psi"), F.col("nu"))).alias("c"))
+    far = psi.join(parcel, "l").select((F.col("eps") * dot(F.col("mu"), F.col("psi"))).alias("c"))
+    each = parcel.select((cdln_column(F.col("sigma"), dim) * (n_sub * n_sessions) + cdln_column(F.col("eps"), dim) * n_sub).alias("c"))
+    return near.unionByName(far).unionByName(each).agg(F.sum("c").alias("cost"))
 
 
 def mean_abs_drift(old: DataFrame, new: DataFrame, on: Sequence[str], keys: Sequence[str], n_cells: Column) -> DataFrame:

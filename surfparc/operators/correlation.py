@@ -25,7 +25,7 @@ def seed_correlation(series: DataFrame, seeds: DataFrame, keys: Sequence[str], v
     Both sides are z-scored to unit length by Spark, so a block is one matrix
     product. The seed side is the coarser mesh: its size is fixed by that mesh,
     not by the number of rows, and each block receives one copy. ``corr`` is
-    ordered by seed id; a constant series correlates as zero.
+    ordered by seed id; a constant series, or one with NaN, correlates as zero.
     """
     keys = list(keys)
     rows = zscore_unit(series.select(*keys, vertex, ts), ts, "z").select(*keys, vertex, "z")
@@ -35,7 +35,7 @@ def seed_correlation(series: DataFrame, seeds: DataFrame, keys: Sequence[str], v
         if not len(block) or not len(seed):
             return pd.DataFrame(columns=[*keys, vertex, "corr"])
         s = seed.sort_values("seed")
-        corr = np.stack(block["z"].to_list()) @ np.stack(s["z"].to_list()).T
+        corr = np.nan_to_num(np.stack(block["z"].to_list()).astype(float) @ np.stack(s["z"].to_list()).astype(float).T, nan=0.0)
         return pd.DataFrame({**{k: block[k].to_numpy() for k in keys}, vertex: block[vertex].to_numpy(), "corr": list(corr)})
 
     return block_apply(rows, model, keys, vertex, product, _types(series, [*keys, vertex]) + ", corr array<double>")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from surfparc.functions.vectors import vsum
 from surfparc.operators.aggregates import sum_vectors
 from surfparc.operators.blocks import block_apply
-from surfparc.session import cut
+from surfparc.session import cut, forget
 
 
 def affinity(dist: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -52,7 +52,8 @@ def diffusion_map(dist: DataFrame, keys: Sequence[str], n_components: int, alpha
     The similarity matrix stays distributed by rows. A thin basis is multiplied by
     it block by block, and its small Gram matrices are summed by Spark; a
     Rayleigh-Ritz step turns the basis into eigenvectors. Rounds stop when the
-    wanted eigenvalues of every mesh settle. Coordinates are divided by the
+    wanted eigenvalues of every mesh settle; if they don't within ``max_rounds``,
+    that is an error. Coordinates are divided by the
     stationary vector and scaled by ``l / (1 - l)``; each is signed so that its
     entry of largest size is positive.
     """
@@ -106,12 +107,17 @@ def diffusion_map(dist: DataFrame, keys: Sequence[str], n_components: int, alpha
     for r in range(max_rounds):
         y = cut(block_apply(s.select(*keys, "src", "row"), q, keys, "src", multiply, product, 1024))
         small = _small(y, keys)
+        if r:
+            forget(q)
         q = cut(block_apply(y.drop("g", "h").withColumn("_advance", F.lit(True)), small, keys, "src", rotate, f"{typed}, src long, y array<double>, ev array<double>", 4096))
+        forget(y)
         values = q.groupBy(*keys).agg(F.first("ev").alias("ev")).select(*keys, F.slice("ev", 1, k).alias("ev"))
         if before is not None:
             gap = before.join(values, keys).select(F.array_max(F.zip_with("old", "ev", lambda a, b: F.abs(a - b))).alias("g")).agg(F.max("g")).first()[0]
-            if gap is not None and gap < tol:
+            if gap is None or gap < tol:
                 break
+            if r == max_rounds - 1:
+                raise RuntimeError(f"eigenvalues still move by {gap:.3g} after {max_rounds} rounds; allow more rounds or ask for fewer components")
         before = cut(values.withColumnRenamed("ev", "old"))
         q = q.drop("ev")
     # One product more, this time keeping the basis itself, gives the eigenvectors.

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 
 from surfparc.operators.blocks import block_apply
 from surfparc.operators.ranking import mode_smallest
-from surfparc.session import cut
+from surfparc.session import cut, forget
 
 
 def _ends(edges: DataFrame, vertices: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -34,7 +34,7 @@ def components(vertices: DataFrame, edges: DataFrame, keys: Sequence[str], label
     keys = list(keys)
     live = vertices.filter(F.col(label) != 0).select(*keys, "v", label)
     same = cut(_ends(edges, live, keys, label).filter(F.col("own") == F.col("other")).select(*keys, "src", "dst"))
-    state = live.withColumn("comp", F.col("v"))
+    state, spent = live.withColumn("comp", F.col("v")), None
     while True:
         near = (
             same.join(state.select(*keys, F.col("v").alias("dst"), F.col("comp").alias("c")), [*keys, "dst"])
@@ -43,6 +43,9 @@ def components(vertices: DataFrame, edges: DataFrame, keys: Sequence[str], label
         )
         low = state.join(near, [*keys, "v"], "left").withColumn("low", F.least("comp", F.coalesce("near", "comp")))
         low = cut(low.select(*keys, "v", label, "comp", "low"))
+        if spent is not None:
+            forget(spent)
+        spent = low
         if low.filter(F.col("low") < F.col("comp")).isEmpty():
             return low.select(*keys, "v", label, "comp")
         # A root points at the lowest id its members or itself saw; follow the pointer twice.

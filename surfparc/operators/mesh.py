@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from surfparc.functions.vectors import safe_div
@@ -195,8 +196,12 @@ def icosphere(spark: SparkSession, n_target: int, radius: float = 100.0) -> tupl
     from surfparc.session import cut
 
     uniq = soup.select(points.alias("p")).groupBy("p.a", "p.b", "p.c").agg(*[F.min(f"p.{n}").alias(n) for n in "xyz"])
-    ids = uniq.rdd.map(lambda r: tuple(r)).sortBy(lambda r: (r[2], r[1], r[0])).zipWithIndex().map(lambda t: (*t[0], t[1]))
-    verts = cut(spark.createDataFrame(ids, "a double, b double, c double, x double, y double, z double, v long"))
+    # Number the points within bands of z, then add what lies in lower bands: no task sorts the whole sphere.
+    laid = cut(uniq.withColumn("band", F.floor(F.col("c") / (2.0 * radius) * 64)))
+    below = Window.orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = laid.groupBy("band").count().select("band", F.coalesce(F.sum("count").over(below), F.lit(0)).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("band").orderBy("c", "b", "a")) - 1
+    verts = cut(laid.withColumn("nth", nth).join(sizes, "band").withColumn("v", F.col("before") + F.col("nth")).select("a", "b", "c", "x", "y", "z", "v"))
     faces = soup
     for i in range(3):
         k = key(i)

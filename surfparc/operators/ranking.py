@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from surfparc.session import cut
+from surfparc.session import cut, forget
 
 
 def top_fraction_threshold(
@@ -20,29 +20,37 @@ def top_fraction_threshold(
     ``settle`` values in play, they are counted into bins over the current range
     (pre-aggregated before the shuffle) and the range shrinks to the extremes of
     the bin holding the wanted rank. What is left is ranked by distinct value.
+    NaN counts as missing, at every size; a range that a round can't narrow
+    (infinite ends, neighbouring doubles) is ranked as it is.
     """
     if not keys:
         grouped = top_fraction_threshold(df.withColumn("_all", F.lit(0)), ["_all"], value, fraction, settle, bins)
         return grouped.drop("_all")
     keys = list(keys)
-    x = df.select(*keys, F.col(value).cast("double").alias("_x"))
+    x = df.select(*keys, F.col(value).cast("double").alias("_x")).filter(~F.isnan("_x"))
     n = F.col("_n")
     state = x.groupBy(*keys).agg(F.count("_x").alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
     rank = F.greatest(F.lit(1), F.least(n, F.floor(n * F.lit(fraction) + 0.5))).cast("long")
-    state = state.withColumn("_k", rank)
+    state = state.withColumn("_k", rank).withColumn("_stuck", F.lit(False))
+    unsettled = (F.col("_n") > settle) & (F.col("_hi") > F.col("_lo")) & ~F.col("_stuck")
 
+    spent = None
     while True:
         state = cut(state)
-        open_keys = state.filter((F.col("_n") > settle) & (F.col("_hi") > F.col("_lo")))
+        if spent is not None:
+            forget(spent)
+        spent = state
+        open_keys = state.filter(unsettled)
         if open_keys.isEmpty():
             break
-        live = x.join(open_keys, keys).filter((F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi")))
-        slot = F.least(F.lit(bins - 1), F.floor((F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins))
-        hist = live.groupBy(*keys, "_k", slot.alias("_b")).agg(F.count("_x").alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+        live = x.join(open_keys.withColumnRenamed("_n", "_was"), keys).filter((F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi")))
+        share = (F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+        slot = F.least(F.lit(bins - 1), F.floor(F.when(F.isnan(share), 0.0).otherwise(share) * bins))
+        hist = live.groupBy(*keys, "_k", "_was", slot.alias("_b")).agg(F.count("_x").alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
         above = F.sum("_n").over(W.partitionBy(*keys).orderBy(F.desc("_b")))
         hit = hist.withColumn("_a", above).filter((F.col("_a") >= F.col("_k")) & (F.col("_a") - F.col("_n") < F.col("_k")))
-        narrowed = hit.select(*keys, "_n", "_lo", "_hi", (F.col("_k") - (F.col("_a") - F.col("_n"))).alias("_k"))
-        state = state.filter((F.col("_n") <= settle) | (F.col("_hi") <= F.col("_lo"))).unionByName(narrowed)
+        narrowed = hit.select(*keys, "_n", "_lo", "_hi", (F.col("_k") - (F.col("_a") - F.col("_n"))).alias("_k"), (F.col("_n") == F.col("_was")).alias("_stuck"))
+        state = state.filter(~unsettled).unionByName(narrowed)
 
     live = x.join(state, keys).filter((F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi")))
     tally = live.groupBy(*keys, "_k", "_x").agg(F.count(F.lit(1)).alias("_c"))

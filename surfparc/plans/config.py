@@ -1,4 +1,4 @@
-"""Run configuration: every key is required, unknown keys are refused."""
+"""Run configuration: every key is required; unknown keys, and keys that would change nothing here, are refused."""
 
 from __future__ import annotations
 
@@ -16,22 +16,20 @@ POSITIVE, NON_NEGATIVE, SHARE, ANY, OPTIONAL = "positive", "non-negative", "shar
 BLOCKS: dict[str, dict[str, tuple]] = {
     "": {
         "schema_version": (str, ("2",)), "mode": (str, tuple(MODES)), "variant": (str, ANY), "num_clusters": (int, POSITIVE),
-        "beta_scalar": (int, NON_NEGATIVE), "w": (int, NON_NEGATIVE), "c": (int, NON_NEGATIVE), "n_grad_components": (int, POSITIVE),
-        "backend_step0": (str, ("cpu", "gpu")), "backend_step1": (str, ("cpu", "gpu")), "backend_step2": (str, ("cpu", "gpu")), "backend_step3": (str, ("cpu", "gpu")),
+        "beta_scalar": (int, NON_NEGATIVE), "w": (int, POSITIVE), "c": (int, NON_NEGATIVE), "n_grad_components": (int, POSITIVE),
     },
     "step0": {
-        "sub_FC": (int, POSITIVE), "sub_verts": (int, POSITIVE), "block_a": (int, POSITIVE), "block_b": (int, POSITIVE), "smooth_sigma": (float, POSITIVE),
-        "K_hop": (int, POSITIVE), "watershed_steps": (int, POSITIVE), "watershed_frac": (float, POSITIVE), "downsample": (float, POSITIVE),
-        "emb_output_format": (str, ("npy", "mat", "both")), "save_geodesic_distance": (bool, ANY), "save_edge_density": (bool, ANY), "enable_tf32": (bool, ANY),
+        "sub_FC": (int, POSITIVE), "sub_verts": (int, POSITIVE), "block_a": (int, POSITIVE), "smooth_sigma": (float, POSITIVE),
+        "K_hop": (int, POSITIVE), "watershed_steps": (int, POSITIVE), "watershed_frac": (float, POSITIVE),
+        "save_geodesic_distance": (bool, ANY), "save_edge_density": (bool, ANY),
     },
     "step1": {
-        "threshold": (float, SHARE), "split_flag": (str, ("0",)), "profile_dtype": (str, ("float32", "float64")), "reduction_dtype": (str, ("float32", "float64")),
-        "radius_mask_radius_mm": (float, POSITIVE),
+        "threshold": (float, SHARE), "radius_mask_radius_mm": (float, POSITIVE),
     },
     "step2": {
         "max_iter_inter": (int, POSITIVE), "max_iter_intra_em": (int, POSITIVE), "max_iter_em": (int, POSITIVE), "max_iter_m": (int, POSITIVE),
         "max_iter_intra_var": (int, POSITIVE), "epsilon": (float, POSITIVE), "intra_em_convergence_eps": (float, POSITIVE), "inter_convergence_eps": (float, POSITIVE),
-        "em_convergence_eps": (float, POSITIVE), "bold_cache_mode": (str, ("auto", "eager_bitpacked", "stream")), "gpu_cache_safety_margin_gb": (float, NON_NEGATIVE), "verbose": (bool, ANY),
+        "em_convergence_eps": (float, POSITIVE),
     },
     "step3": {
         "connect_th": (float, OPTIONAL), "epsilon": (float, POSITIVE), "max_iter_intra_em": (int, POSITIVE), "max_iter_em": (int, POSITIVE), "max_iter_lambda": (int, POSITIVE),
@@ -74,17 +72,14 @@ def _check(block: str, raw: dict) -> dict:
     spec, where = BLOCKS[block], f"{block}." if block else ""
     if not isinstance(raw, dict):
         raise ValueError(f"{block} must be an object")
-    # A key may carry a model prefix before the name known here.
-    known = {k: next((s for s in spec if k == s or k.endswith("_" + s) and s == "isolated_component_min_size"), None) for k in raw}
-    unknown = sorted(k for k, s in known.items() if s is None and k not in ("step0", "step1", "step2", "step3"))
+    unknown = sorted(k for k in raw if k not in spec and not (block == "" and k in BLOCKS))
     if unknown:
         raise ValueError(f"unknown keys {unknown} in {block or 'the configuration'}")
-    values = {s: raw[k] for k, s in known.items() if s}
     out = {}
     for key, (kind, rule) in spec.items():
-        if key not in values:
+        if key not in raw:
             raise ValueError(f"missing required key '{where}{key}'")
-        v = values[key]
+        v = raw[key]
         if v is None and rule == OPTIONAL:
             out[key] = None
             continue
@@ -116,9 +111,11 @@ def parse_config(raw: dict) -> Config:
         raise ValueError(f"mode {top['mode']} does not run {sorted(given - needed)}; remove them")
     if top["num_clusters"] % 2:
         raise ValueError("num_clusters must be even: half per hemisphere")
-    variant = next((n for n in VARIANTS if n == top["variant"] or n[0] == top["variant"][:1].lower()), None)
-    if variant is None:
-        raise ValueError(f"unknown variant {top['variant']!r}")
+    variant = top["variant"]
+    if variant not in VARIANTS:
+        raise ValueError(f"unknown variant {variant!r}; known are {sorted(VARIANTS)}")
+    if MODES[top["mode"]] and variant == "contiguous":
+        raise ValueError("the contiguous variant trains no prior; use one of another variant")
     blocks = {k: _check(k, raw[k]) if k in needed else None for k in ("step0", "step1", "step2", "step3")}
     return Config(top["mode"], variant, top, **blocks)
 

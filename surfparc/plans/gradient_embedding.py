@@ -64,16 +64,20 @@ def edge_density(bold: DataFrame, vertices: DataFrame, edges: DataFrame, faces:
     return agg.edge_density(labels, ["sub", "v"], "label").select("sub", "v", "density")
 
 
-def embed(density: DataFrame, vertices: DataFrame, faces: DataFrame, coarse_vertices: DataFrame, coarse_faces: DataFrame, k: Knobs) -> DataFrame:
-    """Diffusion coordinates of every vertex, computed on a coarser sphere and carried back.
+def distances(density: DataFrame, vertices: DataFrame, faces: DataFrame, coarse_vertices: DataFrame, coarse_faces: DataFrame, k: Knobs) -> DataFrame:
+    """Geodesic distances ``(sub, src, dist)`` on the coarser sphere, with density as the cost of a step.
 
-    Vertices outside the region of interest count as zero density and end at zero.
+    Vertices outside the region of interest count as zero density.
     """
     full = vertices.join(density, ["sub", "v"], "left").withColumn("density", F.coalesce("density", F.lit(0.0)))
     targets = coarse_vertices.withColumnRenamed("v", "target")
     small = surface.interpolate(targets, full, faces, ["sub"], "target", ["density"], k.spacing).select("sub", F.col("target").alias("v"), "density")
     links = mesh.edges_from_faces(coarse_faces, ["sub"])
-    dist = graph.geodesic_distances(cut(small), links, ["sub"], "density")
+    return graph.geodesic_distances(cut(small), links, ["sub"], "density")
+
+
+def embed(dist: DataFrame, vertices: DataFrame, coarse_vertices: DataFrame, coarse_faces: DataFrame, k: Knobs) -> DataFrame:
+    """Diffusion coordinates of every vertex, computed on the coarser sphere and carried back; zero outside the region of interest."""
     emb = diffusion_map(dist, ["sub"], k.components)
     wide = coarse_vertices.join(emb.select("sub", "v", *[F.col("emb")[i].alias(f"e{i}") for i in range(k.components)]), ["sub", "v"])
     up = surface.interpolate(vertices.withColumnRenamed("v", "target"), cut(wide), coarse_faces, ["sub"], "target", [f"e{i}" for i in range(k.components)], 2.0 * k.spacing)

@@ -175,7 +175,7 @@ def em_rounds(state: dict, obs: DataFrame, sizes: DataFrame, parcel: DataFrame,
         nan = F.isnan("cost") | F.isnan("before")
         stop = nan | F.when(F.col("before") != 0, gap <= 1e-4).otherwise(F.col("cost") == 0)
         cost = cut(cost.withColumn("stop", stop))
-        forced = i > min(s.max_em, 100)
+        forced = i > s.max_em
         done = cost if forced else cost.filter("stop")
         final = done.select("sub", F.when(F.col("stop"), F.col("before")).otherwise(F.col("cost")).alias("cost_em"))
         split = {k: em.frozen(d, done) for k, d in (("cells", cells), ("gamma", gamma), ("nu", nu))}

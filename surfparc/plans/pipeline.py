@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import traceback
 from datetime import datetime, timezone
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +13,7 @@ from surfparc.operators import ledger, mesh, surface
 from surfparc.plans import gradient_embedding, group_prior, parcellation, profiles
 from surfparc.plans.config import Config, read_config
 from surfparc.session import cut
-from surfparc.sources import tables
+from surfparc.sources import files, tables
 from surfparc.streaming.progress import COHORT, Progress, plan_entries
 
 
@@ -23,8 +22,9 @@ class Pipeline:
 
     ``inputs`` names the tables a run needs: ``bold (sub, sess, run, v, ts)``,
     ``vertices (sub, v, x, y, z, mars, label, region)``, ``faces (sub, f, v0, v1,
-    v2)``, and, for the embedding, ``coarse_vertices`` and ``coarse_faces``. With
-    no training, ``theta`` and ``parcel`` hold the prior to use.
+    v2)``, and, for the embedding, ``coarse_vertices`` and ``coarse_faces``;
+    ``group_vertices`` and ``group_faces`` (no ``sub``), if the cohort's mesh isn't
+    the smallest subject's. With no training, ``theta`` and ``parcel`` hold the prior to use.
     """
 
     def __init__(self, spark: SparkSession, project: str, config: Config | None = None):
@@ -40,6 +40,7 @@ class Pipeline:
             subs = [str(r[0]) for r in inputs["bold"].select("sub").distinct().orderBy("sub").collect()]
             sessions = inputs["bold"].select("sess").distinct().count()
             self._check(subs, inputs)
+            self.roster = inputs["bold"].select("sub").distinct()
             self.progress.plan(plan_entries(subs, self.config.trains))
             gradient = None
             step = "step0"
@@ -55,7 +56,7 @@ class Pipeline:
                 theta, parcel = self._note(step, [COHORT], lambda: self._train(x, mask, cent, sessions, len(subs), n_seeds, gradient))
             step = "step3"
             labels = self._note(step, subs, lambda: self._parcellate(x, theta, parcel, inputs, sessions, n_seeds, gradient))
-            self._ledger(inputs, subs, sessions)
+            self._ledger(inputs, seed_order)
             self.log["success"] = True
             return labels
         except Exception:
@@ -64,9 +65,7 @@ class Pipeline:
         finally:
             stamp = started.strftime("%Y%m%dT%H%M%S.%f")[:-3]
             self.log["started"] = started.replace(microsecond=0).isoformat()
-            folder = Path(self.project) / "logs"
-            folder.mkdir(parents=True, exist_ok=True)
-            (folder / f"pipeline_run_{stamp}.json").write_text(json.dumps(self.log, indent=1))
+            files.write_text(self.spark, f"{self.project}/logs/pipeline_run_{stamp}.json", json.dumps(self.log, indent=1))
 
     def _check(self, subs: list[str], inputs: dict) -> None:
         if self.config.mode == "modeA_single" and len(subs) != 1:
@@ -83,7 +82,7 @@ class Pipeline:
             out = work()
         except Exception as e:
             for s in slots:
-                self.progress.state(step, s, "failed", str(e)[:500])
+                self.progress.state(step, s, "failed", str(e))
             raise
         for s in slots:
             self.progress.state(step, s, "done")
@@ -91,8 +90,10 @@ class Pipeline:
         return out
 
     def _keep(self, df: DataFrame, artifact: str) -> DataFrame:
+        """Write an artifact and read back what belongs to this run: subjects of earlier rosters stay on disk but out of it."""
         tables.write(df, self.project, artifact)
-        return tables.read(self.spark, self.project, artifact)
+        back = tables.read(self.spark, self.project, artifact)
+        return back.join(self.roster, "sub", "left_semi") if "sub" in tables.LAYOUT[artifact] else back
 
     def _embedding(self, inputs: dict) -> DataFrame:
         c = self.config.step0
@@ -106,18 +107,31 @@ class Pipeline:
         density = cut(gradient_embedding.edge_density(cortex, v, edges, inputs["faces"], weights, k))
         if c["save_edge_density"]:
             tables.write(density, self.project, "edge_density")
-        return self._keep(gradient_embedding.embed(density, v, inputs["faces"], inputs["coarse_vertices"], inputs["coarse_faces"], k), "gradient")
+        coarse = inputs["coarse_vertices"], inputs["coarse_faces"]
+        dist = gradient_embedding.distances(density, v, inputs["faces"], *coarse, k)
+        dist = self._keep(dist, "distance") if c["save_geodesic_distance"] else cut(dist)
+        return self._keep(gradient_embedding.embed(dist, v, *coarse, k), "gradient")
 
     def _profiles(self, inputs: dict, seed_order: int, n_seeds: int) -> DataFrame:
         return self._keep(profiles.binary_profiles(inputs["bold"], inputs["vertices"], seed_order, n_seeds, self.config.step1["threshold"]), "profile")
 
     def _start(self, inputs: dict, packed: DataFrame, n_seeds: int) -> tuple[DataFrame, DataFrame]:
         mean = self._keep(profiles.mean_profiles(packed, n_seeds), "mean_profile")
-        one = inputs["vertices"].groupBy("v").agg(F.max_by("label", "sub").alias("label"))
-        cent, eps = profiles.group_start(mean, one, n_seeds - 1)
+        v, f = self._group_mesh(inputs)
+        cent, eps = profiles.group_start(mean, v.select("v", "label"), n_seeds - 1)
         cent = self._keep(cent.withColumn("eps", F.lit(eps)), "group")
-        mask = profiles.spatial_mask(inputs["vertices"], inputs["faces"], ["sub"], self.config.step1["radius_mask_radius_mm"])
-        return cent, self._keep(mask.select("v", "l").distinct().withColumn("hemi", F.lit("both")), "mask")
+        mask = profiles.spatial_mask(v, f, ["sub"], self.config.step1["radius_mask_radius_mm"])
+        return cent, self._keep(mask.select("v", "l").withColumn("hemi", F.lit("both")), "mask")
+
+    def _group_mesh(self, inputs: dict) -> tuple[DataFrame, DataFrame]:
+        """The mesh the cohort shares: ``group_vertices`` and ``group_faces``, else the smallest subject's.
+
+        Labels, masks and path lengths of the prior are taken from it once, however many subjects there are.
+        """
+        if "group_vertices" in inputs:
+            return inputs["group_vertices"].withColumn("sub", F.lit(0)), inputs["group_faces"].withColumn("sub", F.lit(0))
+        first = inputs["vertices"].agg(F.min("sub")).first()[0]
+        return inputs["vertices"].filter(F.col("sub") == first), inputs["faces"].filter(F.col("sub") == first)
 
     def _train(self, x, mask, cent, sessions: int, n: int, n_seeds: int, gradient) -> tuple[DataFrame, DataFrame]:
         got = group_prior.train(x, mask.select("v", "l"), cent.select("l", "mtc"), self.config.training(sessions, n), n_seeds - 1, gradient)
@@ -130,15 +144,23 @@ class Pipeline:
         got = parcellation.parcellate(x, theta, parcel, v, edges, self.config.variant, s, n_seeds - 1, gradient)
         return self._keep(got["labels"], "labels")
 
-    def _ledger(self, inputs: dict, subs: list[str], sessions: int) -> None:
+    def _meshes(self, inputs: dict, seed_order: int) -> tuple[str, str]:
+        """Names of the target and the seed mesh, from what they hold, so that runs on other meshes are other runs."""
+        v = inputs["vertices"].select(F.xxhash64("sub", "v", "x", "y", "z", "mars", "label", "region").alias("h"))
+        f = inputs["faces"].select(F.xxhash64("sub", "f", "v0", "v1", "v2").alias("h"))
+        whole = v.unionByName(f).agg(F.bit_xor("h").alias("a"), F.sum(F.pmod("h", F.lit(2**31))).alias("b"), F.count("h").alias("n")).first()
+        target = f"{whole['n']}-{whole['a'] & (2**64 - 1):016x}{(whole['b'] or 0):x}"
+        return target, f"{target}-seeds{seed_order}"
+
+    def _ledger(self, inputs: dict, seed_order: int) -> None:
+        target, seed = self._meshes(inputs, seed_order)
         roster = inputs["bold"].select(F.col("sub").cast("string").alias("id"), F.col("sess").cast("string").alias("sess")).distinct().withColumn("_all", F.lit(0))
-        run = ledger.run_ids(roster, ["_all"], "id", "sess", "target", "seed", self.config.top["n_grad_components"]).first()["run_id"]
+        run = ledger.run_ids(roster, ["_all"], "id", "sess", target, seed, self.config.top["n_grad_components"]).first()["run_id"]
         new = roster.select("id").distinct().select(
             "id", F.lit(run).alias("run_id"), F.concat(F.lit("profile/sub="), "id").alias("profile"), F.lit(None).cast("string").alias("gradient")
         )
         if parcellation.VARIANTS[self.config.variant].gradient_prior:
             new = new.withColumn("gradient", F.concat(F.lit("gradient/sub="), "id"))
-        folder = Path(self.project) / "ledger"
-        if folder.exists():
+        if files.exists(self.spark, f"{self.project}/ledger"):
             new = cut(ledger.merge_subjects(new, tables.read(self.spark, self.project, "ledger"), ["profile", "gradient"]))
         tables.write(new, self.project, "ledger")

@@ -25,7 +25,7 @@ def binary_profiles(bold: DataFrame, vertices: DataFrame, seed_order: int, n_see
     keys = ["sub", "sess", "run"]
     seeds = filters.seed_vertices(bold.join(vertices.select("sub", "v", "mars"), ["sub", "v"]), "v", "mars", seed_order).select(*keys, "v", "ts")
     corr = cor.seed_correlation(bold, seeds, keys, "v", "ts")
-    mean = cut(agg.mean_vectors(corr, ["sub", "sess", "v"], "corr", "corr"))
+    mean = cut(agg.mean_of_few(corr, ["sub", "sess", "v"], "corr", "corr"))
     cut_at = ranking.top_fraction_threshold(mean.select("sub", "sess", F.explode("corr").alias("c")), ["sub", "sess"], "c", fraction)
     on = mean.join(cut_at, ["sub", "sess"]).join(vertices.select("sub", "v", "mars"), ["sub", "v"])
     on = filters.zero_wall_profiles(on.withColumn("bits", binarize(F.col("corr"), F.col("threshold"))), F.col("mars") == 1, "bits")

@@ -279,8 +279,7 @@ def outer_cost(spark, folder):
     mu = psi.groupBy("l").agg(F.min_by("psi", "sub").alias("mu"))
     parcel = mu.withColumn("sigma", 30.0 + F.col("l")).withColumn("eps", 40.0 + F.col("l"))
     nu = psi.withColumnRenamed("psi", "nu")
-    cost = agg.outer_cost(psi, nu, parcel, DIM, _n_subjects(spark, folder), 1)
-    return rounded(spark.createDataFrame([(cost,)], "cost double"), "cost")
+    return rounded(agg.outer_cost(psi, nu, parcel, DIM, _n_subjects(spark, folder), 1), "cost")
 
 
 @query
@@ -392,7 +391,7 @@ def run_correlation_profile(spark, folder):
 @query
 def session_mean_correlation(spark, folder):
     c, _ = _seed_corr(spark, folder)
-    m = agg.mean_vectors(c.withColumn("pair", F.when(F.col("run").isin("view", "click"), "browse").otherwise("act")), ["pair", "v"], "corr", "mean")
+    m = agg.mean_of_few(c.withColumn("pair", F.when(F.col("run").isin("view", "click"), "browse").otherwise("act")), ["pair", "v"], "corr", "mean")
     return rounded(m.select("pair", F.col("v").alias("user_id"), vsum(F.col("mean")).alias("total")), "total")
 
 

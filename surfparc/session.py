@@ -56,6 +56,15 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the files of a frame that ``cut`` wrote, once nothing reads it any more."""
+    spark = df.sparkSession
+    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/cut-" in file:
+            place = spark._jvm.org.apache.hadoop.fs.Path(file)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def pin(df: DataFrame, by: list[str], buckets: int) -> DataFrame:
     """Write once as a table bucketed by ``by``; later joins and groups on ``by`` read it in place.
 

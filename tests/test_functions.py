@@ -74,6 +74,13 @@ def test_top_fraction_is_exact_with_ties_and_a_hot_key(spark, settle, fraction):
         assert got[k] == np.sort(xs)[::-1][rank - 1]
 
 
+@pytest.mark.parametrize("settle", [8, 1000])
+def test_top_fraction_leaves_out_nan_and_ends_on_infinite_ranges(spark, settle):
+    rows = [(1, float(i)) for i in range(40)] + [(1, float("nan"))] + [(2, float(i)) for i in range(30)] + [(2, float("inf"))] + [(2, float("-inf"))]
+    got = dict(ranking.top_fraction_threshold(spark.createDataFrame(rows, "k int, x double"), ["k"], "x", 0.25, settle, bins=4).collect())
+    assert got == {1: 30.0, 2: 23.0}
+
+
 def test_convergence_truth_table(spark):
     rows = [("a", 1, 5.0), ("a", 2, 5.0004), ("b", 1, 0.0), ("c", 1, float("nan")), ("d", 1, 2.0), ("d", 2, 9.0)]
     out = {(r.k, r.i): r.converged for r in ranking.relative_change(spark.createDataFrame(rows, "k string, i int, c double"), ["k"], "i", "c").collect()}

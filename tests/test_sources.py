@@ -99,10 +99,9 @@ def test_manifest(spark, tmp_path):
 def config():
     return {
         "schema_version": "2", "mode": "modeA_batch", "variant": "distributed", "num_clusters": 4, "beta_scalar": 5, "w": 50, "c": 10, "n_grad_components": 3,
-        **{f"backend_step{i}": "cpu" for i in range(4)},
-        "step0": {"sub_FC": 2, "sub_verts": 4, "block_a": 3, "block_b": 10, "smooth_sigma": 2.55, "K_hop": 2, "watershed_steps": 10, "watershed_frac": 1.0, "downsample": 3.2,
-                  "emb_output_format": "npy", "save_geodesic_distance": False, "save_edge_density": True, "enable_tf32": False},
-        "step1": {"threshold": 0.1, "split_flag": "0", "profile_dtype": "float64", "reduction_dtype": "float64", "radius_mask_radius_mm": 60.0},
+        "step0": {"sub_FC": 2, "sub_verts": 4, "block_a": 3, "smooth_sigma": 2.55, "K_hop": 2, "watershed_steps": 10, "watershed_frac": 1.0,
+                  "save_geodesic_distance": False, "save_edge_density": True},
+        "step1": {"threshold": 0.1, "radius_mask_radius_mm": 60.0},
         "step3": {"connect_th": None, "epsilon": 1e-4, "max_iter_intra_em": 1, "max_iter_em": 1, "max_iter_lambda": 1, "max_iter_m": 3, "max_iter_comp": 1, "isolated_component_min_size": 5},
     }
 
@@ -115,6 +114,11 @@ def test_config_rules():
         at.pop(key) if drop else at.__setitem__(key, value)
         with pytest.raises(ValueError):
             parse_config(c)
+    broken(None, "variant", "garbage")
+    broken(None, "variant", "d")
+    broken(None, "w", 0)
+    broken("step3", "x_isolated_component_min_size", 5)
+    broken("step0", "downsample", 3.2)
     broken("step1", "threshold", 1.5)
     broken("step1", "threshold", True)
     broken("step0", "K_hop", 0)
