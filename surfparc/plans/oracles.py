@@ -182,7 +182,7 @@ ORACLES: dict[str, str] = {
     "value_extent": f"select event_type, {r6('min(value)')} as lo, {r6('max(value)')} as hi, {r6('max(abs(value))')} as abs_hi from events group by 1",
     "converged_flags": q(MESH, EMB, CENT, "t as (select l, d, sum(m) as s from cent group by 1, 2)", "mu as (select l, d, s / sqrt(sum(s*s) over (partition by l)) as mu from t)",
       "cs as (select c.sub, c.l, sum(c.m*mu.mu) as cosine from cent c join mu using (l, d) group by 1, 2)", tail="select l, case when bool_and(1 - cosine < 0.5) then 1 else 0 end as converged from cs group by 1"),
-    "connect_prior": q(MESH, EMB, CENT, ACC, SOFT, "g as (select sub, v, d, e from emb where d < 8)",
+    "connect_prior": q(MESH, EMB, CENT, ACC, SOFT, "g as (select sub, v, d, e from emb)",
       "u as (select s.sub, s.l, d, sum(lam*e)/sum(lam) as u from soft s join g on g.sub=s.sub and g.v=s.v group by 1, 2, 3)",
       tail=f"select s.sub, s.v, s.l, {r6('-sum((e-u)*(e-u))')} as scv from soft s join g on g.sub=s.sub and g.v=s.v join u on u.sub=s.sub and u.l=s.l and u.d=g.d group by 1, 2, 3"),
     "sphere_prior": q(MESH, EMB, CENT, ACC, SOFT, "sp as (select sub, v, (x-100)/r as ux, (y-45)/r as uy, (z+50)/r as uz from (select *, sqrt((x-100)*(x-100)+(y-45)*(y-45)+(z+50)*(z+50)) as r from mesh))",
@@ -254,20 +254,21 @@ ORACLES: dict[str, str] = {
       "hops as (select sub, l, v, 0::double as d from rim union select h.sub, h.l, e.dst, h.d + e.w from hops h join edges e on e.sub=h.sub and e.src=h.v where h.d + e.w <= 30)",
       tail="select distinct sub, v, l from hops union select sub, v, label from mesh where label > 0"),
     "smoothing_weights": q(MESH, FACES, FACE_EDGES, GEOMETRY, LINKS, tail=f"select sub, tgt, src, {r6('w')} as w from weights where tmars = 2"),
-    "gauss_smooth": q(MESH, FACES, FACE_EDGES, GEOMETRY, LINKS, "sm as (select w.sub, w.tgt as v, sum(w.w * m.embedding[2]::double)/sum(w.w) as s from weights w join mesh m on m.sub=w.sub and m.v=w.src where tmars = 2 group by 1, 2)",
-      tail=f"select m.sub, m.v, {r6('coalesce(s, 0)')} as value from mesh m left join sm using (sub, v)"),
-    "surface_gradient": q(MESH, FACES, FACE_EDGES, GEOMETRY,
-      "here as materialized (select m.sub, m.v, x, y, z, nx, ny, nz, area, m.embedding[2]::double as val from mesh m join geom g on g.sub=m.sub and g.v=m.v where mars = 2)",
-      "e0 as materialized (select s.*, o.x-s.x ox, o.y-s.y oy, o.z-s.z oz, o.area wt, o.val-s.val dv, case when abs(s.nx) > abs(s.ny) then 0 else 1 end sx, case when abs(s.nx) > abs(s.ny) then 1 else 0 end sy from fedges f join here s on s.sub=f.sub and s.v=f.src join here o on o.sub=f.sub and o.v=f.dst)",
+    "gauss_smooth": q(MESH, FACES, FACE_EDGES, GEOMETRY, LINKS, EMB, "sm as (select w.sub, w.tgt as v, m.d, sum(w.w * m.e)/sum(w.w) as s from weights w join emb m on m.sub=w.sub and m.v=w.src where tmars = 2 group by 1, 2, 3)",
+      tail=f"select m.sub, m.v, CAST(m.d AS INTEGER) as k, {r6('coalesce(s, 0)')} as value from emb m left join sm using (sub, v, d)"),
+    "surface_gradient": q(MESH, FACES, FACE_EDGES, GEOMETRY, EMB,
+      "here as materialized (select m.sub, m.v, x, y, z, nx, ny, nz, area from mesh m join geom g on g.sub=m.sub and g.v=m.v where mars = 2)",
+      "e0 as materialized (select s.*, o.x-s.x ox, o.y-s.y oy, o.z-s.z oz, o.area wt, o.v as dst, case when abs(s.nx) > abs(s.ny) then 0 else 1 end sx, case when abs(s.nx) > abs(s.ny) then 1 else 0 end sy from fedges f join here s on s.sub=f.sub and s.v=f.src join here o on o.sub=f.sub and o.v=f.dst)",
       "e1 as (select *, -nz*sy hx, nz*sx hy, nx*sy-ny*sx hz, sqrt(ox*ox+oy*oy+oz*oz) mag, ox*nx+oy*ny+oz*nz rise from e0)",
       "e2 as (select * replace (hx/hl as hx, hy/hl as hy, hz/hl as hz) from (select *, sqrt(hx*hx+hy*hy+hz*hz) hl from e1))",
       "e3 as (select *, ny*hz-nz*hy kx, nz*hx-nx*hz ky, nx*hy-ny*hx kz, case when abs(rise) > 0.035*mag then mag*asin(least(1, greatest(-1, rise/mag)))*mag/rise else mag end as unr from e2)",
       "e4 as (select *, ox*hx+oy*hy+oz*hz p0, ox*kx+oy*ky+oz*kz q0 from e3)",
       "e5 as (select *, p0*unr/sqrt(p0*p0+q0*q0) p, q0*unr/sqrt(p0*p0+q0*q0) q from e4)",
-      "g as (select sub, v, sum(p*p*wt) a00, sum(p*q*wt) a01, sum(p*wt) a02, sum(q*q*wt) a11, sum(q*wt) a12, sum(wt)+any_value(area) a22, sum(p*wt*dv) b0, sum(q*wt*dv) b1, sum(wt*dv) b2, any_value(hx) hx, any_value(hy) hy, any_value(hz) hz, any_value(kx) kx, any_value(ky) ky, any_value(kz) kz from e5 group by 1, 2 having count(*) >= 2)",
-      "s as (select *, a00*(a11*a22-a12*a12)-a01*(a01*a22-a12*a02)+a02*(a01*a12-a11*a02) as det, b0*(a11*a22-a12*a12)-a01*(b1*a22-a12*b2)+a02*(b1*a12-a11*b2) as na, a00*(b1*a22-a12*b2)-b0*(a01*a22-a12*a02)+a02*(a01*b2-b1*a02) as nb from g)",
-      "r as (select sub, v, sqrt((hx*na/det+kx*nb/det)**2+(hy*na/det+ky*nb/det)**2+(hz*na/det+kz*nb/det)**2) as gr from s)",
-      tail=f"select m.sub, m.v, {r6('coalesce(r.gr, 0)')} as gradient from mesh m left join r using (sub, v)"),
+      "g as (select sub, v, sum(p*p*wt) a00, sum(p*q*wt) a01, sum(p*wt) a02, sum(q*q*wt) a11, sum(q*wt) a12, sum(wt)+any_value(area) a22, any_value(hx) hx, any_value(hy) hy, any_value(hz) hz, any_value(kx) kx, any_value(ky) ky, any_value(kz) kz from e5 group by 1, 2 having count(*) >= 2)",
+      "h as (select e5.sub, e5.v, a.d, sum(p*wt*(b.e-a.e)) b0, sum(q*wt*(b.e-a.e)) b1, sum(wt*(b.e-a.e)) b2 from e5 join emb a on a.sub=e5.sub and a.v=e5.v join emb b on b.sub=e5.sub and b.v=e5.dst and b.d=a.d group by 1, 2, 3)",
+      "s as (select *, a00*(a11*a22-a12*a12)-a01*(a01*a22-a12*a02)+a02*(a01*a12-a11*a02) as det, b0*(a11*a22-a12*a12)-a01*(b1*a22-a12*b2)+a02*(b1*a12-a11*b2) as na, a00*(b1*a22-a12*b2)-b0*(a01*a22-a12*a02)+a02*(a01*b2-b1*a02) as nb from g join h using (sub, v))",
+      "r as (select sub, v, d, sqrt((hx*na/det+kx*nb/det)**2+(hy*na/det+ky*nb/det)**2+(hz*na/det+kz*nb/det)**2) as gr from s)",
+      tail=f"select m.sub, m.v, CAST(m.d AS INTEGER) as k, {r6('coalesce(r.gr, 0)')} as gradient from emb m left join r using (sub, v, d)"),
     "edge_density": q(MESH, tail=f"select v, count(*) filter (label = 0) as n_edge, count(*) as n_samples, {r6('count(*) filter (label = 0) / count(*)::double')} as density from mesh group by 1"),
     "conditional_mean": f"""select user_id, event_type, count(*) filter (value - 5.0::double > 1e-10) as n_positive,
       {r6("case when count(*) filter (value - 5.0::double > 1e-10) = 0 then 0 else sum(value - 5.0::double) / count(*) filter (value - 5.0::double > 1e-10) end")} as mean from events group by 1, 2""",

@@ -315,7 +315,7 @@ def converged_flags(spark, folder):
 def connect_prior(spark, folder):
     m = mesh_table(spark, folder)
     s = _soft(spark, folder)
-    g = m.select("sub", "v", F.slice("emb", 1, 8).alias("grad"))
+    g = m.select("sub", "v", F.col("emb").alias("grad"))
     return rounded(em.connect_prior(s, g).select("sub", "v", "l", "scv"), "scv")
 
 
@@ -667,22 +667,23 @@ def gauss_smooth(spark, folder):
     m = mesh_table(spark, folder).withColumn("roi", F.col("mars") == 2)
     f = grid_faces(m)
     w = surface.smoothing_weights(m, _face_edges(m, f), f, ["sub"], SIGMA, "roi")
-    return rounded(surface.smooth(m.withColumn("value", F.col("emb")[1]), w, ["sub"], "value"), "value")
+    columns = m.select("sub", "v", F.posexplode("emb").alias("k", "value"))
+    return rounded(surface.smooth(columns, w, ["sub", "k"], "value"), "value")
 
 
 @query
 def surface_gradient(spark, folder):
     m = mesh_table(spark, folder).withColumn("roi", F.col("mars") == 2)
     f = grid_faces(m)
-    vals = m.select("sub", "v", F.col("emb")[1].alias("value"))
-    return rounded(surface.gradient_magnitude(vals, m, _face_edges(m, f), f, ["sub"], "value", "roi"), "gradient")
+    vals = m.select("sub", "v", F.posexplode("emb").alias("k", "value"))
+    return rounded(surface.gradient_magnitude(vals, m, _face_edges(m, f), f, ["sub"], "value", "roi", ["k"]), "gradient")
 
 
 @query
 def watershed_labels(spark, folder):
     m = mesh_table(spark, folder)
     e = grid_edges(m)
-    cols = m.select("sub", "v", F.posexplode(F.slice("emb", 1, 4)).alias("k", "value"))
+    cols = m.select("sub", "v", F.posexplode("emb").alias("k", "value"))
     near = mesh.khop(e, ["sub"], 2)
     flagged = graph.local_minima(cols, near, ["sub", "k"], "value")
     return surface.watershed(flagged, e, ["sub"], "k", "value")
@@ -827,7 +828,7 @@ def _parcellate(spark, folder, variant):
     m, theta, _, cent = _cohort(spark, folder)
     s = parcellation.Settings(sessions=2, n_labels=9, n_vertices=MESH_SIZE, w=1.0, c=0.5, beta=0.001, max_intra=1, max_em=1, max_lambda=2, max_m=5, max_pieces_rounds=1)
     parcel = cent.select("l", F.col("mtc").alias("mu"), F.lit(60.0).alias("sigma"), F.lit(60.0).alias("eps"))
-    grad = m.select("sub", "v", F.slice("emb", 1, 8).alias("grad"))
+    grad = m.select("sub", "v", F.col("emb").alias("grad"))
     return parcellation.parcellate(profile(m, 2), theta, parcel, m, grid_edges(m), variant, s, DIM - 1, grad)["labels"]
 
 
