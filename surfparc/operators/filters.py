@@ -38,6 +38,18 @@ def seed_vertices(vertices: DataFrame, vertex: str, mars: str, order: int) -> Da
     return vertices.filter((F.col(vertex) < 10 * 4**order + 2) & (F.col(mars) == 2))
 
 
+def two_sided_seeds(vertices: DataFrame, keys: Sequence[str], vertex: str, hemi: str, mars: str, order: int) -> DataFrame:
+    """Seeds of a stacked brain: the coarser mesh of each hemisphere, whose ids count from its own first vertex."""
+    first = vertices.groupBy(*keys, hemi).agg(F.min(vertex).alias("_first"))
+    own = vertices.join(first, [*keys, hemi]).withColumn("_own", F.col(vertex) - F.col("_first"))
+    return seed_vertices(own, "_own", mars, order).drop("_first", "_own")
+
+
+def same_side_cells(cells: DataFrame, hemi: str, parcel: str, n_left: int, left: str = "lh") -> DataFrame:
+    """Cells of a vertex with parcels of its own hemisphere: the first ``n_left`` belong to the left one."""
+    return cells.filter((F.col(hemi) == left) == (F.col(parcel) <= n_left))
+
+
 def drop_vertices_from_edges(edges: DataFrame, keep: DataFrame, keys: Sequence[str], vertex: str) -> DataFrame:
     """Edges with both ends kept, renumbered to consecutive ids from zero.
 

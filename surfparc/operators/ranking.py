@@ -113,6 +113,11 @@ def relative_change(df: DataFrame, keys: Sequence[str], order: str, cost: str, t
     )
 
 
+def stack_labels(df: DataFrame, hemi: str, label: str, n_left: int, right: str = "rh") -> DataFrame:
+    """Labels of both hemispheres in one numbering: the right one's parcels follow the left one's, zero stays zero."""
+    return df.withColumn(label, F.when((F.col(hemi) == right) & (F.col(label) > 0), F.col(label) + n_left).otherwise(F.col(label)))
+
+
 def renumber(df: DataFrame, keys: Sequence[str], label: str, out: str) -> DataFrame:
     """Close gaps in the positive labels; zero stays zero. Ranks distinct labels only."""
     order = W.partitionBy(*keys).orderBy(label)

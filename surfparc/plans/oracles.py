@@ -13,6 +13,7 @@ MESH = """mesh as materialized (
          case when label = 0 then 1 else 2 end as mars, embedding
   from embeddings)"""
 EMB = "emb as (select sub, v, label, mars, generate_subscripts(embedding, 1) - 1 as d, unnest(embedding)::double as e from mesh)"
+BRAINS = "brain as materialized (select sub // 2 as sub, v + 250 * (sub % 2) as v, case when sub % 2 = 0 then 'lh' else 'rh' end as hemi, label, mars, embedding from mesh)"
 EDGES = """edges as materialized (
   select a.sub, a.v as src, b.v as dst, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) as w
   from mesh a join mesh b on a.sub = b.sub
@@ -218,6 +219,16 @@ ORACLES: dict[str, str] = {
     "wall_zeroing": q(MESH, EMB, tail=f"select sub, v, case when any_value(mars) = 1 then 0 else 1 end as keep, {r6('sum(case when mars = 1 then 0 else e end)')} as total from emb group by 1, 2"),
     "wall_words_check": q(MESH, EMB, THRESH, BITS, tail="select sub, v, ones from ones"),
     "seed_selection": q(MESH, tail="select sub, v from mesh where v < 42 and mars = 2"),
+    "two_sided_seeds": q(MESH, BRAINS, tail="select sub, hemi, v from brain where v % 250 < 42 and mars = 2"),
+    "two_sided_profile": q(MESH, BRAINS, "be as (select sub, v, hemi, mars, unnest(embedding)::double as e, unnest(range(64)) as d from brain)",
+      "ms as (select sub, v, avg(e) as m, sqrt(sum((e - a) * (e - a))) as s from (select *, avg(e) over (partition by sub, v) as a from be) group by 1, 2)",
+      "z as (select be.sub, be.v, be.mars, d, case when s > 0 then (e - m) / s else 0 end as z from be join ms using (sub, v))",
+      "c as (select a.sub, a.v, a.mars, b.v as seed, sum(a.z * b.z) as corr from z a join z b on a.sub = b.sub and a.d = b.d where b.v % 250 < 42 and b.mars = 2 group by 1, 2, 3, 4)",
+      "k as (select sub, greatest(1, least(count(*), floor(count(*) * 0.1 + 0.5))) as k from c group by 1)",
+      "t as (select sub, min(corr) as t from (select sub, corr, row_number() over (partition by sub order by corr desc) as r from c) join k using (sub) where r <= k group by 1)",
+      tail="select c.sub, c.v, CAST(count(*) filter (where mars <> 1 and corr >= t) AS BIGINT) as n_on from c join t using (sub) group by 1, 2"),
+    "cross_hemisphere_cells": q(MESH, BRAINS, "cl as (select sub, v, case when hemi = 'rh' then label + 9 else label end as l from brain where label > 0)",
+      tail="select distinct b.sub, b.v, b.hemi, CAST(cl.l AS BIGINT) as l from cl join brain b on b.sub = cl.sub and b.v - cl.v in (-250, -1, 0, 1, 250) where (b.hemi = 'lh') = (cl.l <= 9)"),
     "neighbour_filter": q(MESH, EDGES, "ids as (select sub, v, row_number() over (partition by sub order by v) - 1 as id from mesh where mars = 2)",
       tail="select e.sub, a.id as new_src, b.id as new_dst from edges e join ids a on a.sub=e.sub and a.v=e.src join ids b on b.sub=e.sub and b.v=e.dst"),
     "active_edges": q(MESH, EDGES, tail="select e.sub, src, dst from edges e join mesh a on a.sub=e.sub and a.v=src join mesh b on b.sub=e.sub and b.v=dst where a.label % 4 <> 0 and b.label % 4 <> 0"),

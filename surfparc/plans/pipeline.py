@@ -21,7 +21,8 @@ class Pipeline:
     """Runs the steps a mode asks for and keeps the ledger, progress and run log.
 
     ``inputs`` names the tables a run needs: ``bold (sub, sess, run, v, ts)``,
-    ``vertices (sub, v, x, y, z, mars, label, region)``, ``faces (sub, f, v0, v1,
+    ``vertices (sub, v, x, y, z, mars, label, region``, with ``hemi`` if both
+    hemispheres are stacked``)``, ``faces (sub, f, v0, v1,
     v2)``, and, for the embedding, ``coarse_vertices`` and ``coarse_faces``;
     ``group_vertices`` and ``group_faces`` (no ``sub``), if the cohort's mesh isn't
     the smallest subject's. With no training, ``theta`` and ``parcel`` hold the prior to use.
@@ -107,11 +108,32 @@ class Pipeline:
         density = cut(gradient_embedding.edge_density(cortex, v, edges, inputs["faces"], weights, k))
         if c["save_edge_density"]:
             tables.write(density, self.project, "edge_density")
+        if "hemi" in v.columns:
+            return self._keep(self._by_hemisphere(inputs, k), "gradient")
         coarse = inputs["coarse_vertices"], inputs["coarse_faces"]
         dist = gradient_embedding.distances(density, v, inputs["faces"], *coarse, k)
         dist = self._keep(dist, "distance") if c["save_geodesic_distance"] else cut(dist)
         return self._keep(gradient_embedding.embed(dist, v, *coarse, k), "gradient")
 
+    def _by_hemisphere(self, inputs: dict, k: gradient_embedding.Knobs) -> DataFrame:
+        """Each hemisphere is embedded as a mesh of its own; distances never cross."""
+        def side(name: str, hemi: str) -> DataFrame:
+            return inputs[name].filter(F.col("hemi") == hemi).drop("hemi")
+
+        out, own = None, inputs["vertices"].select("sub", "v", "hemi")
+        for hemi in [r[0] for r in own.select("hemi").distinct().orderBy("hemi").collect()]:
+            v = side("vertices", hemi).withColumn("roi", F.col("mars") == 2)
+            f = inputs["faces"].join(v.select("sub", F.col("v").alias("v0")), ["sub", "v0"], "left_semi")
+            edges = cut(mesh.with_length(mesh.edges_from_faces(f, ["sub"]), v, ["sub"]))
+            weights = cut(surface.smoothing_weights(v, edges, f, ["sub"], k.sigma, "roi"))
+            cortex = inputs["bold"].join(v.filter("roi").select("sub", "v"), ["sub", "v"], "left_semi")
+            density = cut(gradient_embedding.edge_density(cortex, v, edges, f, weights, k))
+            coarse = side("coarse_vertices", hemi), side("coarse_faces", hemi)
+            dist = cut(gradient_embedding.distances(density, v, f, *coarse, k))
+            grad = cut(gradient_embedding.embed(dist, v, *coarse, k))
+            out = grad if out is None else out.unionByName(grad)
+        return out
+
     def _profiles(self, inputs: dict, seed_order: int, n_seeds: int) -> DataFrame:
         return self._keep(profiles.binary_profiles(inputs["bold"], inputs["vertices"], seed_order, n_seeds, self.config.step1["threshold"]), "profile")
 
@@ -121,7 +143,8 @@ class Pipeline:
         cent, eps = profiles.group_start(mean, v.select("v", "label"), n_seeds - 1)
         cent = self._keep(cent.withColumn("eps", F.lit(eps)), "group")
         mask = profiles.spatial_mask(v, f, ["sub"], self.config.step1["radius_mask_radius_mm"])
-        return cent, self._keep(mask.select("v", "l").withColumn("hemi", F.lit("both")), "mask")
+        hemi = F.col("hemi") if "hemi" in mask.columns else F.lit("both")
+        return cent, self._keep(mask.select("v", "l", hemi.alias("hemi")), "mask")
 
     def _group_mesh(self, inputs: dict) -> tuple[DataFrame, DataFrame]:
         """The mesh the cohort shares: ``group_vertices`` and ``group_faces``, else the smallest subject's.

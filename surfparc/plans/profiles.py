@@ -20,10 +20,15 @@ def binary_profiles(bold: DataFrame, vertices: DataFrame, seed_order: int, n_see
 
     ``bold (sub, sess, run, v, ts)`` may hold several runs per session; their
     correlations are averaged before one threshold per subject and session is
-    applied to all vertices together.
+    applied to all vertices together. ``vertices`` with a column ``hemi`` are both
+    hemispheres stacked, and each gives its own seeds.
     """
     keys = ["sub", "sess", "run"]
-    seeds = filters.seed_vertices(bold.join(vertices.select("sub", "v", "mars"), ["sub", "v"]), "v", "mars", seed_order).select(*keys, "v", "ts")
+    if "hemi" in vertices.columns:
+        chosen = filters.two_sided_seeds(vertices, ["sub"], "v", "hemi", "mars", seed_order)
+    else:
+        chosen = filters.seed_vertices(vertices, "v", "mars", seed_order)
+    seeds = bold.join(chosen.select("sub", "v"), ["sub", "v"]).select(*keys, "v", "ts")
     corr = cor.seed_correlation(bold, seeds, keys, "v", "ts")
     mean = cut(agg.mean_of_few(corr, ["sub", "sess", "v"], "corr", "corr"))
     cut_at = ranking.top_fraction_threshold(mean.select("sub", "sess", F.explode("corr").alias("c")), ["sub", "sess"], "c", fraction)
@@ -54,8 +59,13 @@ def spatial_mask(vertices: DataFrame, faces: DataFrame, keys: list[str], radius:
     """``v, l`` cells within reach of a parcel, less what anatomy rules out.
 
     ``vertices`` carries ``label`` and the anatomical ``region``. Edge lengths are
-    taken after the mesh is rescaled to the area of a sphere of radius 100.
+    taken after the mesh is rescaled to the area of a sphere of radius 100. With a
+    column ``hemi`` each hemisphere is a mesh of its own, and a parcel, which lies
+    in one of them, gets no cells in the other.
     """
+    if "hemi" in vertices.columns and "hemi" not in keys:
+        sided = faces.join(vertices.select(*keys, F.col("v").alias("v0"), "hemi"), [*keys, "v0"])
+        return spatial_mask(vertices, sided, [*keys, "hemi"], radius)
     scaled = mesh.rescale_area(vertices, faces, keys)
     edges = cut(mesh.with_length(mesh.edges_from_faces(faces, keys), scaled, keys))
     near = graph.radius_mask(scaled, edges, keys, radius)

@@ -21,7 +21,7 @@ from surfparc.operators import correlation as cor
 from surfparc.operators import em, filters, graph, ledger, mesh, ranking, surface
 from surfparc.operators.blocks import block_apply
 from surfparc.operators.diffusion import diffusion_map
-from surfparc.plans import group_prior, parcellation
+from surfparc.plans import group_prior, parcellation, profiles
 from surfparc.session import cut
 from surfparc.plans.stand_in import DIM, MESH_SIZE, day_flags, day_series, grid_edges, grid_faces, profile, table
 from surfparc.plans.stand_in import mesh as mesh_table
@@ -447,6 +447,37 @@ def seed_selection(spark, folder):
     return filters.seed_vertices(mesh_table(spark, folder), "v", "mars", SEED_ORDER).select("sub", "v")
 
 
+def _brains(m: DataFrame) -> DataFrame:
+    """Pairs of meshes as the stacked hemispheres of one brain."""
+    side = F.when(F.col("sub") % 2 == 0, "lh").otherwise("rh")
+    return m.withColumn("hemi", side).withColumn("v", F.col("v") + MESH_SIZE * (F.col("sub") % 2)).withColumn("sub", F.floor(F.col("sub") / 2))
+
+
+@query
+def two_sided_seeds(spark, folder):
+    return filters.two_sided_seeds(_brains(mesh_table(spark, folder)), ["sub"], "v", "hemi", "mars", SEED_ORDER).select("sub", "hemi", "v")
+
+
+@query
+def two_sided_profile(spark, folder):
+    """Correlations of each vertex's vector with those of both hemispheres' seeds, thresholded together."""
+    b = _brains(mesh_table(spark, folder))
+    bold = b.select("sub", F.lit(1).alias("sess"), F.lit(1).alias("run"), "v", F.col("emb").alias("ts"))
+    n = filters.two_sided_seeds(b, ["sub"], "v", "hemi", "mars", SEED_ORDER).groupBy("sub").count().agg(F.max("count")).first()[0] or 1
+    packed = profiles.binary_profiles(bold, b, SEED_ORDER, n, 0.1)
+    return packed.select("sub", "v", F.aggregate("words", F.lit(0), lambda a, w: a + F.bit_count(w)).cast("long").alias("n_on"))
+
+
+@query
+def cross_hemisphere_cells(spark, folder):
+    b = _brains(mesh_table(spark, folder)).select("sub", "v", "hemi", "label")
+    cells = ranking.stack_labels(b, "hemi", "label", 9).filter("label > 0")
+    around = F.explode(F.array(*[F.col("v") + F.lit(d).cast("long") for d in (-MESH_SIZE, -1, 0, 1, MESH_SIZE)]))
+    near = cells.select("sub", "label", around.alias("w")).join(b.select("sub", F.col("v").alias("w"), F.col("hemi").alias("hemi_w")), ["sub", "w"])
+    both = near.select("sub", F.col("w").alias("v"), F.col("hemi_w").alias("hemi"), F.col("label").alias("l")).distinct()
+    return filters.same_side_cells(both, "hemi", "l", 9).select("sub", "v", "hemi", F.col("l").cast("long").alias("l"))
+
+
 @query
 def neighbour_filter(spark, folder):
     m = mesh_table(spark, folder)
