@@ -37,6 +37,19 @@ def mean_vectors(df: DataFrame, keys: Sequence[str], vector: str, out: str = "me
     return gather_vectors(long.groupBy(*keys, "pos").agg(F.avg("_x").alias("_s")), keys, "_s", out)
 
 
+def sum_of_few(df: DataFrame, keys: Sequence[str], vector: str, out: str = "total") -> DataFrame:
+    """Elementwise sum of a handful of vectors per key, such as the partial sums of a mesh's blocks.
+
+    The vectors travel whole, as in ``mean_of_few``; long keys belong to ``sum_vectors``.
+    """
+    few = df.groupBy(*keys).agg(F.collect_list(as_double(vector)).alias("_v"))
+    return few.select(*keys, _added("_v").alias(out))
+
+
+def _added(vectors: str) -> Column:
+    return F.aggregate(F.slice(vectors, 2, F.size(vectors)), F.get(vectors, F.lit(0)), lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
+
+
 def mean_of_few(df: DataFrame, keys: Sequence[str], vector: str, out: str = "mean") -> DataFrame:
     """Elementwise mean of a handful of vectors per key, such as the runs of one session.
 
@@ -44,8 +57,7 @@ def mean_of_few(df: DataFrame, keys: Sequence[str], vector: str, out: str = "mea
     what they are, else ``mean_vectors`` is the way.
     """
     few = df.groupBy(*keys).agg(F.collect_list(as_double(vector)).alias("_v"))
-    total = F.aggregate(F.slice("_v", 2, F.size("_v")), F.get("_v", F.lit(0)), lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
-    return few.select(*keys, F.transform(total, lambda t: t / F.size("_v")).alias(out))
+    return few.select(*keys, F.transform(_added("_v"), lambda t: t / F.size("_v")).alias(out))
 
 
 def bit_sums(df: DataFrame, keys: Sequence[str], words: str) -> DataFrame:

@@ -50,7 +50,7 @@ class Pipeline:
             step = "step1"
             packed = self._note(step, subs, lambda: self._profiles(inputs, seed_order, n_seeds))
             cent, mask = self._note("step1_ini", [COHORT], lambda: self._start(inputs, packed, n_seeds))
-            x = profiles.normalized_profiles(packed, n_seeds)
+            x = profiles.packed_profiles(packed, n_seeds)
             theta, parcel = inputs.get("theta"), inputs.get("parcel")
             if self.config.trains:
                 step = "step2"

@@ -43,6 +43,13 @@ def normalized_profiles(packed: DataFrame, n_seeds: int) -> DataFrame:
     return s.select("sub", (F.col("sess") - 1).alias("t"), "v", bits.normalized(F.col("words"), n_seeds).alias("x"))
 
 
+def packed_profiles(packed: DataFrame, n_seeds: int) -> DataFrame:
+    """The same rows still packed: words, the two values a bit can take, and whether any value is non-zero."""
+    s = bits.with_packed_stats(packed, "words", n_seeds)
+    live = (F.col("ones") > 0) & (F.col("ones") < n_seeds)
+    return s.select("sub", (F.col("sess") - 1).alias("t"), "v", "words", "value_on", "value_off", F.lit(n_seeds).alias("width"), live.alias("live"))
+
+
 def mean_profiles(packed: DataFrame, n_seeds: int) -> DataFrame:
     return agg.gather_vectors(agg.cohort_mean_profile(packed, ["v"], "words", n_seeds), ["v"], "mean", "avg")
 
