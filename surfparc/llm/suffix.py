@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surfparc.llm.common import table
+from surfparc.llm.common import masked, table, unmasked
 from surfparc.llm.deepshallow import deep_shallow
 from surfparc.llm.textnum import BASE_INVERSE, BYTE, U, buffers, mix, owner, portions, powers
 from surfparc.session import cut
@@ -87,8 +87,13 @@ def find_anchors(batches: Iterator[pa.RecordBatch], span: int, gram: int) -> Ite
             yield pa.RecordBatch.from_arrays([pa.array(t0[row]), pa.array(t1[row]), pa.array(np.concatenate(places)), pa.array(np.concatenate(grams))], ["t0", "t1", "pos", "gram"])
 
 
-def surroundings(batches: Iterator[pa.RecordBatch], hot: bool, span: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """(t0, t1, text, marks) to CONTEXT rows: what a span around each marked anchor can hold on either side."""
+def surroundings(batches: Iterator[pa.RecordBatch], mode: str, span: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """(t0, t1, text, marks) to CONTEXT rows: what a span around each marked anchor can hold on either side.
+
+    Anchors of one text with equal whole surroundings settle each other here:
+    the first stands for all in modes ``usual`` and ``hot``, and mode ``twins``
+    gives (t0, t1, start, end) of what they cover.
+    """
     side = span - gram
     for batch in batches:
         raw, offsets = buffers(batch.column(2))
@@ -96,18 +101,32 @@ def surroundings(batches: Iterator[pa.RecordBatch], hot: bool, span: int, gram:
         inner = marks.flatten()
         row = np.repeat(np.arange(len(marks)), marks.value_lengths().to_numpy(zero_copy_only=False))
         pos, key, is_hot = (inner.field(k).to_numpy(zero_copy_only=False) for k in ("pos", "gram", "hot"))
-        pick = np.flatnonzero(is_hot == hot)
         t0, t1 = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-        for k in range(0, len(pick), CHUNK):
-            some = pick[k : k + CHUNK]
-            r, p = row[some], pos[some]
+        for k in range(0, len(pos), CHUNK):
+            r, p, g, h = row[k : k + CHUNK], pos[k : k + CHUNK], key[k : k + CHUNK], is_hot[k : k + CHUNK]
             at = offsets[r] + p
             start, end = np.maximum(offsets[r], at - side), np.minimum(offsets[r + 1], at + span)
-            left = [raw[a:b].tobytes() for a, b in zip(start.tolist(), at.tolist(), strict=True)]
-            right = [raw[a:b].tobytes() for a, b in zip(at.tolist(), end.tolist(), strict=True)]
-            zero, most = np.zeros(len(some), np.int32), np.full(len(some), side, np.int32)
+            data = [raw[a:b].tobytes() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+            first: dict[tuple, int] = {}
+            lead = np.array([first.setdefault((a, b, c), i) if len(c) == side + span else i for i, (a, b, c) in enumerate(zip(r.tolist(), g.tolist(), data, strict=True))])
+            if mode == "twins":
+                many = np.bincount(lead, minlength=len(lead))[lead] > 1
+                order = np.flatnonzero(many)[np.lexsort((p[many], r[many]))]
+                if not len(order):
+                    continue
+                r, a, b = r[order], p[order] - side, p[order] + span
+                new = np.append(True, (r[1:] != r[:-1]) | (a[1:] > np.maximum.accumulate(b + r * (1 << 40))[:-1] - r[1:] * (1 << 40)))
+                runs = np.flatnonzero(new)
+                yield pa.RecordBatch.from_arrays([pa.array(t0[r[runs]]), pa.array(t1[r[runs]]), pa.array(a[runs]), pa.array(np.maximum.reduceat(b, runs))], ["t0", "t1", "start", "end"])
+                continue
+            pick = np.flatnonzero((lead == np.arange(len(lead))) & (h == (mode == "hot")))
+            cut_at = (at - start)[pick].tolist()
+            left = [data[i][:c] for i, c in zip(pick.tolist(), cut_at, strict=True)]
+            right = [data[i][c:] for i, c in zip(pick.tolist(), cut_at, strict=True)]
+            r, p = r[pick], p[pick]
+            zero, most = np.zeros(len(pick), np.int32), np.full(len(pick), side, np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key[some]), pa.array(zero), pa.array(most), pa.array(t0[r]), pa.array(t1[r]), pa.array(p), pa.array(left, pa.binary()), pa.array(right, pa.binary())],
+                [pa.array(g[pick]), pa.array(zero), pa.array(most), pa.array(t0[r]), pa.array(t1[r]), pa.array(p), pa.array(left, pa.binary()), pa.array(right, pa.binary())],
                 ["key", "lo", "hi", "t0", "t1", "pos", "lhs", "rhs"],
             )
 
@@ -215,21 +234,20 @@ def split_hot(level: DataFrame, span: int, group: int) -> tuple[list[DataFrame],
     whole = lambda lo, hi: (F.length("lhs") >= hi) & (F.length("rhs") >= span - lo)
     around = F.concat(F.expr("substring(lhs, -hi, hi)"), F.expr(f"substring(rhs, 1, {span} - lo)"))
     place = F.xxhash64("t0", "t1", "pos")
+    names = [c.split()[0] for c in CONTEXT.split(", ")]
     while True:
-        level = cut(
-            level.withColumn("full", F.when(whole(F.col("lo"), F.col("hi")), F.md5(around))).withColumn("place", place)
-        )
-        alike = level.filter(F.col("full").isNotNull()).groupBy("key", "full").agg(F.count(F.lit(1)).alias("same"), F.min("place").alias("first"))
-        joined = level.join(alike, ["key", "full"], "left")
-        settled.append(joined.filter(F.col("same") > 1).select("t0", "t1", (F.col("pos") - F.col("hi")).alias("start"), (F.col("pos") - F.col("lo") + span).alias("end")))
-        single = cut(joined.filter(F.col("same").isNull() | (F.col("place") == F.col("first"))).drop("full", "place", "same", "first"))
-        size = single.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-        counted = single.join(size.filter(F.col("n") > 1), "key")
-        ready.append(counted.filter(F.col("n") <= group).drop("n"))
-        big = counted.filter((F.col("n") > group) & (F.col("lo") < F.col("hi"))).drop("n")
-        if big.isEmpty():
+        level = cut(level)
+        size = level.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        counted = cut(level.join(size, "key"))
+        ready.append(counted.filter(F.col("n") <= group).select(*names))
+        big = counted.filter(F.col("n") > group).select(*names, F.when(whole(F.col("lo"), F.col("hi")), F.md5(around)).alias("full"), place.alias("place"))
+        alike = big.filter(F.col("full").isNotNull()).groupBy("key", "full").agg(F.count(F.lit(1)).alias("same"), F.min("place").alias("first"))
+        joined = cut(big.join(alike.filter("same > 1"), ["key", "full"], "left"))
+        settled.append(joined.filter("same > 1").select("t0", "t1", (F.col("pos") - F.col("hi")).alias("start"), (F.col("pos") - F.col("lo") + span).alias("end")))
+        going = joined.filter((F.col("same").isNull() | (F.col("place") == F.col("first"))) & (F.col("lo") < F.col("hi")))
+        if going.isEmpty():
             return ready, settled
-        level = big.select(*[c.split()[0] for c in CONTEXT.split(", ")]).mapInArrow(lambda it: halves(it, span), CONTEXT)
+        level = going.select(*names).mapInArrow(lambda it: halves(it, span), CONTEXT)
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", span: int = SPAN, gram: int = GRAM, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
@@ -245,11 +263,12 @@ def repeated_spans(docs: DataFrame, text: str = "text", span: int = SPAN, gram:
     seen = cut(seen.select("gram", (F.col("n") > group).alias("hot")))
     marks = anchors.join(seen, "gram").groupBy("t0", "t1").agg(F.collect_set(F.struct("pos", "gram", "hot")).alias("marks"))
     marked = cut(ids.join(marks.hint("shuffle_merge"), ["t0", "t1"]).dropDuplicates(["t0", "t1"]).select("t0", "t1", "text", "marks"))
-    usual = marked.mapInArrow(lambda it: surroundings(it, False, span, gram), CONTEXT)
-    found = []
+    usual = marked.mapInArrow(lambda it: surroundings(it, "usual", span, gram), CONTEXT)
+    found = [marked.mapInArrow(lambda it: surroundings(it, "twins", span, gram), "t0 long, t1 long, start long, end long")]
     if not seen.filter("hot").isEmpty():
-        hot = marked.mapInArrow(lambda it: surroundings(it, True, span, gram), CONTEXT)
-        ready, found = split_hot(hot, span, group)
+        hot = marked.mapInArrow(lambda it: surroundings(it, "hot", span, gram), CONTEXT)
+        ready, settled = split_hot(hot, span, group)
+        found += settled
         for r in ready:
             usual = usual.unionByName(r)
     sorted_rows = usual.repartition("key").sortWithinPartitions("key")
@@ -306,8 +325,9 @@ def remove_repeats(docs: DataFrame, key: list[str], text: str = "text", span: in
     empty text; keys may be null; repeated rows are copies; other columns are
     ignored; no rows give no rows.
     """
-    data = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    rows = docs.select(*key, *text_id(data), F.length(data).cast("long").alias("n_bytes"))
+    data = F.coalesce(F.col("__text"), F.lit("")).cast("binary")
+    named, names = masked(docs.withColumn("__text", F.col(text)), key, "__text")
+    rows = named.select(*names, *text_id(data), F.length(data).cast("long").alias("n_bytes"))
     texts, spans = repeated_spans(docs, text, span, gram, group)
     listed = spans.groupBy("t0", "t1").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     stripped = texts.join(listed, ["t0", "t1"]).select("t0", "t1", "text", "spans")
@@ -316,6 +336,7 @@ def remove_repeats(docs: DataFrame, key: list[str], text: str = "text", span: in
     joined = rows.join(copies, ["t0", "t1"]).join(stripped, ["t0", "t1"], "left")
     all_gone = (F.col("copies") > 1) & (F.col("n_bytes") >= span)
     everything = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
+    joined = unmasked(joined, key)
     return joined.withColumn("spans", F.when(all_gone, everything).otherwise(F.col("spans"))).withColumn("kept", F.when(all_gone, F.lit(b"")).otherwise(F.col("kept")))
 
 
