@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from test_sources import config
 
-from surfparc.operators import mesh
+from surfparc.operators import mesh, ranking
 from surfparc.plans.config import parse_config
 from surfparc.plans.pipeline import Pipeline
 from surfparc.session import cut
@@ -53,3 +53,33 @@ def test_project_run_writes_every_artifact(spark, tmp_path):
     assert {r["sub"] for r in again.select("sub").distinct().collect()} == {1}
     after = {r.id: r.run_id for r in tables.read(spark, str(tmp_path), "ledger").collect()}
     assert after["1"] != before["1"]
+
+
+def test_two_hemispheres_never_mix(spark, tmp_path):
+    v, f = mesh.icosphere(spark, 92)
+    n = v.count()
+    band = F.when(F.col("v") < 4, 0).when(F.col("z") > 0, 1).otherwise(2)
+    one = v.withColumn("sub", F.lit(1).cast("long")).withColumn("label", band).withColumn("mars", F.when(F.col("v") < 4, 1).otherwise(2)).withColumn("region", (F.col("v") % 36 + 1).cast("int"))
+    left = one.withColumn("hemi", F.lit("lh"))
+    right = ranking.stack_labels(one.withColumn("hemi", F.lit("rh")).withColumn("v", F.col("v") + n), "hemi", "label", 2)
+    vertices = cut(left.unionByName(right))
+    far = F.lit(n).cast("long")
+    faces = f.withColumn("sub", F.lit(1).cast("long"))
+    faces = cut(faces.unionByName(faces.select("sub", (F.col("f") + 10_000).alias("f"), *[(F.col(c) + far).alias(c) for c in ("v0", "v1", "v2")])))
+    rng = np.random.default_rng(3)
+    xyz = np.array([[r.x, r.y, r.z] for r in v.orderBy("v").collect()]) / 100
+    sig = np.concatenate([xyz @ rng.normal(size=(3, 30)) for _ in range(2)]) + rng.normal(size=(2 * n, 30)) * 0.4
+    bold = spark.createDataFrame([(1, 1, 1, i, [float(a) for a in x]) for i, x in enumerate(sig)], "sub long, sess int, run int, v long, ts array<double>")
+    seeds = 2 * (42 - 4)
+    near = mesh.edges_from_faces(faces, ["sub"]).join(vertices.select(F.col("v").alias("src"), F.col("label").alias("l")), "src").filter("l > 0")
+    theta = near.select(F.col("dst").alias("v"), "l", F.lit(0.2).alias("theta")).unionByName(vertices.filter("label > 0").select("v", F.col("label").alias("l"), F.lit(1.0).alias("theta")))
+    theta = theta.join(vertices.filter("mars = 2").select("v"), "v", "left_semi").groupBy("v", "l").agg(F.max("theta").alias("theta"))
+    mu = rng.normal(size=(5, seeds))
+    parcel = spark.createDataFrame([(l, [float(a) for a in mu[l] / np.linalg.norm(mu[l])], 40.0, 40.0) for l in range(1, 5)], "l int, mu array<double>, sigma double, eps double")
+    labels = Pipeline(spark, str(tmp_path), parse_config(config())).run({"bold": bold, "vertices": vertices, "faces": faces, "theta": cut(theta), "parcel": parcel}, 1, seeds)
+    for r in labels.collect():
+        assert r.label == 0 or (r.v < n) == (r.label <= 2)
+    mask = tables.read(spark, str(tmp_path), "mask").collect()
+    assert {r.hemi for r in mask} == {"lh", "rh"} and all((r.v < n) == (r.l <= 2) == (r.hemi == "lh") for r in mask)
+    words = tables.read(spark, str(tmp_path), "profile").select(F.max(F.size("words")).alias("n")).first().n
+    assert words == -(-seeds // 64)
