@@ -49,7 +49,12 @@ class Pipeline:
                 gradient = self._note(step, subs, lambda: self._embedding(inputs))
             step = "step1"
             packed = self._note(step, subs, lambda: self._profiles(inputs, seed_order, n_seeds))
-            cent, mask = self._note("step1_ini", [COHORT], lambda: self._start(inputs, packed, n_seeds))
+            step = "step1_avg"
+            mean = self._note(step, [COHORT], lambda: self._keep(profiles.mean_profiles(packed, n_seeds), "mean_profile"))
+            step = "step1_ini"
+            cent = self._note(step, [COHORT], lambda: self._start(inputs, mean, n_seeds))
+            step = "step1_mask"
+            mask = self._note(step, [COHORT], lambda: self._mask(inputs))
             x = profiles.packed_profiles(packed, n_seeds)
             theta, parcel = inputs.get("theta"), inputs.get("parcel")
             if self.config.trains:
@@ -137,14 +142,16 @@ class Pipeline:
     def _profiles(self, inputs: dict, seed_order: int, n_seeds: int) -> DataFrame:
         return self._keep(profiles.binary_profiles(inputs["bold"], inputs["vertices"], seed_order, n_seeds, self.config.step1["threshold"]), "profile")
 
-    def _start(self, inputs: dict, packed: DataFrame, n_seeds: int) -> tuple[DataFrame, DataFrame]:
-        mean = self._keep(profiles.mean_profiles(packed, n_seeds), "mean_profile")
-        v, f = self._group_mesh(inputs)
+    def _start(self, inputs: dict, mean: DataFrame, n_seeds: int) -> DataFrame:
+        v, _ = self._group_mesh(inputs)
         cent, eps = profiles.group_start(mean, v.select("v", "label"), n_seeds - 1)
-        cent = self._keep(cent.withColumn("eps", F.lit(eps)), "group")
+        return self._keep(cent.withColumn("eps", F.lit(eps)), "group")
+
+    def _mask(self, inputs: dict) -> DataFrame:
+        v, f = self._group_mesh(inputs)
         mask = profiles.spatial_mask(v, f, ["sub"], self.config.step1["radius_mask_radius_mm"])
         hemi = F.col("hemi") if "hemi" in mask.columns else F.lit("both")
-        return cent, self._keep(mask.select("v", "l", hemi.alias("hemi")), "mask")
+        return self._keep(mask.select("v", "l", hemi.alias("hemi")), "mask")
 
     def _group_mesh(self, inputs: dict) -> tuple[DataFrame, DataFrame]:
         """The mesh the cohort shares: ``group_vertices`` and ``group_faces``, else the smallest subject's.
@@ -157,7 +164,7 @@ class Pipeline:
         return inputs["vertices"].filter(F.col("sub") == first), inputs["faces"].filter(F.col("sub") == first)
 
     def _train(self, x, mask, cent, sessions: int, n: int, n_seeds: int, gradient) -> tuple[DataFrame, DataFrame]:
-        got = group_prior.train(x, mask.select("v", "l"), cent.select("l", "mtc"), self.config.training(sessions, n), n_seeds - 1, gradient)
+        got = group_prior.train(x, mask.select("v", "l"), cent.select("l", "mtc"), self.config.training(sessions, n), n_seeds - 1, gradient, lambda i, j: self.progress.iteration("step2", i, j))
         return self._keep(got["theta"], "prior_theta"), self._keep(got["parcel"], "prior_parcel")
 
     def _parcellate(self, x, theta, parcel, inputs: dict, sessions: int, n_seeds: int, gradient) -> DataFrame:

@@ -109,11 +109,11 @@ def parse_annotation(data: bytes, path: str) -> np.ndarray:
     return np.array([codes[v] if v else -1 for v in values], dtype=np.int32)
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
+def _files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def read_series(spark: SparkSession, path: str, expected: int | None = None) -> DataFrame:
+def read_series(spark: SparkSession, path: str | list[str], expected: int | None = None) -> DataFrame:
     """``path, v, ts`` for every surface time-series file under ``path``."""
 
     def parse(batches):

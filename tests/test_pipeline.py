@@ -41,7 +41,7 @@ def test_project_run_writes_every_artifact(spark, tmp_path):
     ones = packed.groupBy("sub", "sess").agg(F.sum(F.aggregate("words", F.lit(0), lambda a, w: a + F.bit_count(w))).alias("n"), F.max(F.when(F.col("v") < 4, F.col("words")[0])).alias("wall"))
     assert all(r.wall == 0 and 0 < r.n <= 92 * seeds * 0.1 + 1 for r in ones.collect())
     log = json.loads(next((tmp_path / "logs").glob("*.json")).read_text())
-    assert log["success"] and log["steps"] == ["step1", "step1_ini", "step3"]
+    assert log["success"] and log["steps"] == ["step1", "step1_avg", "step1_ini", "step1_mask", "step3"]
     assert tables.read(spark, str(tmp_path), "ledger").count() == 2 and (tmp_path / "progress.jsonl").exists()
     before = {r.id: r.run_id for r in tables.read(spark, str(tmp_path), "ledger").collect()}
     # One subject fewer, and one vertex moved: the earlier subject stays out, and the run is another one.

@@ -29,6 +29,37 @@ def test_series_files(spark, tmp_path):
             surface_files.parse_series(bad.encode(), "x")
 
 
+def test_series_of_a_manifest_stack_both_sides(spark, tmp_path):
+    from surfparc.sources import project, tables
+
+    rng, made = np.random.default_rng(1), {}
+    for sub in (1, 2):
+        for hemi, n in (("lh", 3), ("rh", 2)):
+            x = rng.normal(size=(n, 4)).astype("<f4")
+            x[0, 1] = np.nan
+            made[sub, hemi] = x
+            (tmp_path / f"s{sub}.{hemi}.func.gii").write_text("<GIFTI>" + "".join(darray(x[:, t].copy()) for t in range(4)) + "</GIFTI>")
+    manifest = spark.createDataFrame([(str(s), 1, f"s{s}.lh.func.gii", f"{tmp_path}/s{s}.rh.func.gii") for s in (1, 2)], "sub string, sess int, lh string, rh string")
+    (tmp_path / "censor.txt").write_text("1 0 1 1\n")
+    censor = tables.read_censor(spark, str(tmp_path / "censor.txt")).withColumn("path", F.lit(f"{tmp_path}/s2.rh.func.gii"))
+    rows = project.series_from_manifest(spark, manifest, str(tmp_path), 3, 2, censor).collect()
+    assert len(rows) == 10
+    for r in rows:
+        want = np.nan_to_num(made[r["sub"], "lh" if r.v < 3 else "rh"][r.v if r.v < 3 else r.v - 3])
+        assert np.allclose(r.ts, want[[0, 2, 3]] if r["sub"] == 2 and r.v >= 3 else want)
+    with pytest.raises(Exception, match="expected 4"):
+        project.series_from_manifest(spark, manifest, str(tmp_path), 4, 2).collect()
+
+
+def test_stored_prior_comes_back(spark, tmp_path):
+    from surfparc.sources import project, tables
+
+    tables.write(spark.createDataFrame([(0, 1, 0.5)], "v long, l int, theta double"), str(tmp_path), "prior_theta")
+    tables.write(spark.createDataFrame([(1, [0.6, 0.8], 3.0, 4.0)], "l int, mu array<double>, sigma double, eps double"), str(tmp_path), "prior_parcel")
+    got = project.read_prior(spark, str(tmp_path))
+    assert tuple(got["theta"].first()) == (0, 1, 0.5) and tuple(got["parcel"].first()) == (1, [0.6, 0.8], 3.0, 4.0)
+
+
 def test_mesh_and_annotation_files(spark, tmp_path):
     p, f = np.array([[0, 0, 0], [1, 0, 0], [0, 1, 0]], ">f4"), np.array([[0, 1, 2]], ">i4")
     blob = b"\xff\xff\xfecreated\n\n" + struct.pack(">2i", 3, 1) + p.tobytes() + f.tobytes()
