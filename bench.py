@@ -13,6 +13,7 @@ HEADLINE = [
     "bold_zscore", "run_mean_correlation", "run_correlation_profile", "fc_similarity", "top_fraction_binarize", "bit_profile_pack", "cohort_mean_profile",
     "parcel_centroids", "soft_assign", "argmax_labels", "weighted_group_sum", "em_cost", "assignment_round", "potts_term", "khop_neighbours", "components",
     "remove_isolated", "radius_mask", "gauss_smooth", "surface_gradient", "geodesic_distance", "mode_smallest", "cohort_merge",
+    "two_sided_profile", "smoothing_weights", "watershed_labels", "connectedness", "component_distance",
 ]
 
 
