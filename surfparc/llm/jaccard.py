@@ -15,7 +15,7 @@ from surfparc.operators.graph import components
 from surfparc.session import cut
 
 WIDTH, NUM, DEN = 3, 90, 100
-RATIO = 1.3
+RATIO = 1.25
 LEAF = 32
 PIVOTS = 8
 REGION = 4_000_000
@@ -63,31 +63,38 @@ class Sets:
         return mix(a + mix(b)).view(np.int64), mix(b ^ a).view(np.int64)
 
 
-def bands(most: int, num: int, den: int) -> list[tuple[int, int, int]]:
-    """(smallest size, largest size + 1, most differing shingles of a linked pair) of the bands of set sizes.
-
-    Pairs belong to the band of their larger set. Linked sets of sizes a and b
-    differ in at most (a + b)(den - num) / (den + num) shingles.
-    """
+def bands(most: int) -> list[tuple[int, int]]:
+    """(smallest size, largest size + 1) of the bands of set sizes. Pairs belong to the band of their larger set."""
     out, lo = [], 1
     while lo <= most:
         hi = max(lo + 1, int(lo * RATIO))
-        out.append((lo, hi, 2 * (hi - 1) * (den - num) // (den + num)))
+        out.append((lo, hi))
         lo = hi
     return out
 
 
-def parts_of(differing: int, smallest: int) -> tuple[int, int]:
-    """(parts, weak parts allowed) of a band: so many parts that those which may differ or be weak leave one."""
-    margin = 0
-    while True:
-        parts = differing + 1 + margin
-        mean = smallest / parts
-        weak = np.exp(-mean) * (1 + mean)
-        need = int(np.ceil(parts * weak + 4 * np.sqrt(parts * weak))) if parts > 1 else 0
-        if need <= margin or margin > differing + 8:
-            return parts, margin
-        margin += max(1, (need - margin) // 2)
+def most_differing(size: np.ndarray | int, hi: int, num: int, den: int) -> np.ndarray | int:
+    """Most shingles in which a set of this size differs from one below ``hi`` that it is linked with."""
+    return (size + np.minimum(hi - 1, size * den // num)) * (den - num) // (den + num)
+
+
+def parts_of(lo: int, hi: int, num: int, den: int) -> int:
+    """Number of parts for a band: the fewest of which, at any size, two standard deviations more than those that may differ or be weak remain."""
+    sizes = np.array([max(1, lo * num // den), lo, hi - 1])
+    differing = most_differing(sizes, hi, num, den)
+    least = int(differing.max()) + 1
+    if least == 1:
+        return 1  # such small sets are linked only if equal
+    best, best_spare = least, -np.inf
+    for parts in range(least, 2 * least + 4):
+        mean = sizes / parts
+        weak = parts * np.exp(-mean) * (1 + mean)
+        spare = float(((parts - 1 - differing - weak) / np.sqrt(weak + 1e-9)).min())
+        if spare >= 2:
+            return parts
+        if spare > best_spare:
+            best, best_spare = parts, spare
+    return best
 
 
 def cell_keys(sets: Sets, node: np.ndarray, rows: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,18 +104,19 @@ def cell_keys(sets: Sets, node: np.ndarray, rows: np.ndarray, num: int, den: int
     pair has differing shingles; so the pair's projections onto some part are
     equal, at distance zero from one pivot projection, and its sets share that
     cell. A set also goes to the cells of the next band if the size window of a
-    link reaches there. Parts of fewer than two shingles are left out while a
-    set has no more of them than the band allows for; then one of equal
-    projections with two shingles remains, as the count shows.
+    link reaches there. Linked sets of sizes a and b differ in at most
+    (a + b)(den - num) / (den + num) shingles. Parts of fewer than two shingles
+    are left out while those and the parts that may differ are fewer than all,
+    so that an equal part with two shingles must remain; else all are kept.
     """
     keys, nodes = [], []
     if not len(rows):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for number, (lo, hi, differing) in enumerate(bands(int(sets.size.max()) * den // num + 1, num, den)):
+    for number, (lo, hi) in enumerate(bands(int(sets.size.max()) * den // num + 1)):
         inside = rows[(sets.size[rows] < hi) & (sets.size[rows] * den >= lo * num)]
         if not len(inside):
             continue
-        parts, allowed = parts_of(differing, max(1, lo * num // den))
+        parts = parts_of(lo, hi, num, den)
         pick = np.zeros(len(sets.size), bool)
         pick[inside] = True
         some = pick[sets.row]
@@ -124,7 +132,7 @@ def cell_keys(sets: Sets, node: np.ndarray, rows: np.ndarray, num: int, den: int
         size = np.diff(np.append(at, len(slot)))
         cell, where = slot[at], slot[at] // parts
         weak = parts - np.bincount(where[size > 1], minlength=len(inside))
-        every = weak > allowed
+        every = weak > parts - 1 - most_differing(sets.size[np.flatnonzero(pick)], hi, num, den)
         keep = (size > 1) | every[where]
         label = mix(total + mix((cell % parts).astype(np.uint64) * U(4099) + U(number)))
         keys.append(label[keep])
