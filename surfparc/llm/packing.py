@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from surfparc.llm.common import table
+from surfparc.llm.common import small, table
 from surfparc.llm.textnum import buffers, portions, process_cache
 from surfparc.session import cut
 
 CAPACITY = 4096
 END_ID = 2
-CACHED = 500_000
+CACHED = 150_000
 # Characters whose lower case and splitting this module does itself; others go to the tokenizer whole.
 PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]*")
 PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
@@ -142,7 +142,7 @@ def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", cap
     )
     q = F.col("before") + F.col("nth")
     per = F.expr("shiftleft(1L, level)")
-    placed = pieces.join(F.broadcast(before), ["level", "part"]).withColumn("q", q).withColumn("per", per)
+    placed = pieces.join(small(cut(before)), ["level", "part"]).withColumn("q", q).withColumn("per", per)
     rest = F.col("all") % F.col("per")
     left = F.col("q") - (F.col("all") - rest)
     # left < rest: the highest bit in which they differ is set in rest alone; that digit's run holds the piece.

@@ -56,11 +56,12 @@ def word_vectors(sequences: list[np.ndarray]) -> np.ndarray:
     """Index vectors plus the sums of their neighbours' index vectors, each at unit length."""
     index = index_vectors()
     context = np.zeros(index.shape)
-    for reach in range(1, REACH + 1):
-        left = np.concatenate([s[:-reach] for s in sequences] or [np.zeros(0, np.int64)])
-        right = np.concatenate([s[reach:] for s in sequences] or [np.zeros(0, np.int64)])
-        for d in range(DIMENSIONS):
-            context[:, d] += np.bincount(left, index[right, d], len(index)) + np.bincount(right, index[left, d], len(index))
+    for at in range(0, len(sequences), 200):  # some texts at a time: the sums are small, the pairs are not
+        some = sequences[at : at + 200]
+        for reach in range(1, REACH + 1):
+            left, right = (np.concatenate([s[cut_off] for s in some]) for cut_off in (slice(None, -reach), slice(reach, None)))
+            for d in range(DIMENSIONS):
+                context[:, d] += np.bincount(left, index[right, d], len(index)) + np.bincount(right, index[left, d], len(index))
     unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
     return unit(unit(index) + unit(context)).astype(np.float32)
 
@@ -143,8 +144,8 @@ def quality_scores(docs: DataFrame, learn_from: DataFrame, labels: DataFrame, ke
 
     The model is fitted on the driver from at most ``sample`` labelled rows of
     ``learn_from`` (doc_id, text), chosen by a hash of the id, and applied to
-    every whole text in Arrow batches; a task holds a megabyte of text, or one
-    text, at a time. Only the text is an input.
+    every whole text in Arrow batches; a task holds half a megabyte of text,
+    or one text, at a time. Only the text is an input.
 
     Null texts are scored as empty ones. Without labelled rows, or with labels
     of one kind, the score is the mean label, 0.5 if there is none. Labels other
@@ -157,15 +158,17 @@ def quality_scores(docs: DataFrame, learn_from: DataFrame, labels: DataFrame, ke
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = buffers(batch.column(len(key)))
+            raw, offsets = buffers(batch.column(place))
             score = np.full(len(offsets) - 1, flat)
-            for lo, hi in portions(offsets) if model else ():
+            for lo, hi in portions(offsets, 1 << 19) if model else ():
                 z = logits(model, pooled(model["vectors"], raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]))
                 score[lo:hi] = 1 / (1 + np.exp(-np.clip(z / model["temperature"], -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(key)], pa.array(score)], [*key, "score"])
 
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in key)
-    return docs.select(*key, F.col(text).alias("__text")).mapInArrow(predict, f"{kinds}, score double")
+    place = key.index(text) if text in key else len(key)  # a text that is kept isn't sent twice
+    slim = docs.select(*key) if text in key else docs.select(*key, F.col(text).alias("__text"))
+    return slim.mapInArrow(predict, f"{kinds}, score double")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

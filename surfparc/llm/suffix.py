@@ -18,7 +18,7 @@ from surfparc.session import cut
 SPAN = 400
 GRAM = 128
 GROUP = 2000
-SEGMENT = 1 << 20
+SEGMENT = 1 << 19
 CHUNK = 4000
 CONTEXT = "key long, lo int, hi int, t0 long, t1 long, pos long, lhs binary, rhs binary"
 
