@@ -197,13 +197,16 @@ def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Region:
     """Sets that are joined in one task; ``root`` links what belongs together."""
 
-    def __init__(self, sets: list[np.ndarray], num: int, den: int) -> None:
+    def __init__(self, sets: list[np.ndarray], num: int, den: int, group: np.ndarray | None = None) -> None:
         self.size = np.array([len(s) for s in sets])
         self.start = np.concatenate([[0], np.cumsum(self.size)])[:-1]
         universe, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
         self.mark = np.zeros(len(universe), bool)
         self.num, self.den, self.reach = num, den, 1 - num / den
         self.root = np.arange(len(sets))
+        if group is not None:  # sets of equal group are linked already
+            _, first, where = np.unique(group, return_index=True, return_inverse=True)
+            self.root = first[where]
 
     def shared(self, members: np.ndarray, others: np.ndarray) -> np.ndarray:
         """Shingles that each of ``others`` shares with the set of local shingle ids ``members``."""
@@ -272,17 +275,17 @@ class Region:
 
 
 def join_regions(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """(region, node, set) sorted by region to (src, dst): each set and the first of those it is linked with."""
+    """(region, node, set, grp) sorted by region to (src, dst): each set and the first of those it is linked with."""
     held: list[pa.RecordBatch] = []
 
     def settle(rows: pa.Table) -> pa.RecordBatch:
-        region, node = rows["region"].to_numpy(), rows["node"].to_numpy()
+        region, node, group = rows["region"].to_numpy(), rows["node"].to_numpy(), rows["grp"].to_numpy()
         sets = [np.frombuffer(s, np.uint64) for s in rows["set"].to_pylist()]
         edges = np.append(np.flatnonzero(np.append(True, region[1:] != region[:-1])), len(region)).tolist()
         src, dst = [], []
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             if b - a > 1:
-                r = Region(sets[a:b], num, den)
+                r = Region(sets[a:b], num, den, group[a:b])
                 r.join(np.arange(b - a))
                 linked = np.flatnonzero(r.root != np.arange(b - a))
                 src.append(node[a + linked])
@@ -315,74 +318,95 @@ def shingle_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.R
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lo + ok)), pa.array(node[ok]), pa.array(s.size[ok].astype(np.int64)), pa.array(sets, pa.binary())], ["region", "node", "size", "set"])
 
 
-def connected(key: tuple, rows: pa.Table) -> pa.Table:
-    """(region, bit, reach) of a region's pivots: the region, if members linked to several connect them all."""
-    masks, at = dict(zip(rows["bit"].to_pylist(), rows["reach"].to_pylist(), strict=True)), 0
-    group = next(iter(masks.values()))
-    while at != group:
-        at = group
-        for bit, mask in masks.items():
-            if group >> bit & 1:
-                group |= mask
-    whole = all(group >> bit & 1 for bit in masks)
-    return pa.table({"region": rows["region"].slice(0, int(whole)), "one": pa.array([True] * int(whole), pa.bool_())})
-
-
 def divide(rows: DataFrame, limit: int, num: int, den: int) -> tuple[DataFrame, list[DataFrame]]:
     """Regions of more than ``limit`` shingles, divided until none is: (small regions, links found on the way).
 
-    A round picks up to 63 pivots in each large region, measures every set
-    against them in salted groups of bounded size and links what is within
-    reach. A region whose sets are all linked to pivots that connect is done.
-    Else each set goes to the region of its nearest pivot and, within the
-    triangle-inequality window, to those of others; where the windows don't
-    divide a region, it goes on as one. Pivots have met everything and leave, so
-    every round ends nearer.
+    Each set carries the group of sets it is known to be linked with. A round
+    draws pivots anew from all groups but a region's largest: 63, each round four
+    times as many, up to ``limit / 2`` shingles. They measure every set in salted
+    groups of bounded size, link what is within reach and leave, as they have met
+    everything. A region is done when one group is left: pairs within a group need
+    no comparison, and all other pairs had a pivot. Where the windows of the
+    triangle inequality around the first 63 pivots divide a region, each set goes
+    to the region of its nearest pivot and to those whose window holds it; else
+    the region goes on as one.
     """
-    small_ones, links = [], []
+    small_ones, links, turn = [], [], 0
     reach = 1 - num / den
-    schema = "region long, node long, size long, set binary, pivot boolean, mask long, linked array<bigint>, homes array<bigint>"
+    schema = "region long, node long, size long, set binary, grp long, pivot boolean, linked array<bigint>, homes array<bigint>"
 
     def meet(members: pa.Table, pivots: pa.Table) -> pa.Table:
-        order = np.argsort(pivots["node"].to_numpy())[:63] if pivots.num_rows else []
-        names = [pivots["node"][int(k)].as_py() for k in order]
+        order = np.argsort(pivots["node"].to_numpy()) if pivots.num_rows else np.zeros(0, np.int64)
+        names = pivots["node"].to_numpy()[order]
         chosen = [np.frombuffer(pivots["set"][int(k)].as_py(), np.uint64) for k in order]
-        taken, out = set(names), {"pivot": [], "mask": [], "linked": [], "homes": []}
-        for node, data in zip(members["node"].to_pylist(), members["set"].to_pylist(), strict=True):
+        sizes = np.array([len(p) for p in chosen], np.int64)
+        flat = np.concatenate([*chosen, np.zeros(0, np.uint64)])
+        place = np.argsort(flat, kind="stable")
+        holder = np.repeat(np.arange(len(chosen)), sizes)[place]
+        universe, first = np.unique(flat[place], return_index=True)
+        edges = np.append(first, len(flat))
+        lead = pivots["grp"].to_numpy()[order].copy()  # of each pivot, as joined in this task
+        above: dict[int, int] = {}
+
+        def top(g: int) -> int:
+            while g in above:
+                g = above[g]
+            return g
+
+        taken, out = set(names.tolist()), {"pivot": [], "linked": [], "homes": []}
+        for node, grp, data in zip(members["node"].to_pylist(), members["grp"].to_pylist(), members["set"].to_pylist(), strict=True):
             own = np.frombuffer(data, np.uint64)
-            inter = np.array([np.isin(own, p, assume_unique=True).sum() for p in chosen])
-            union = len(own) + np.array([len(p) for p in chosen]) - inter
-            near = np.flatnonzero(den * inter >= num * union).tolist()
-            far = 1 - inter / union
+            at = np.searchsorted(universe, own)
+            held = np.flatnonzero(at < len(universe))
+            at = at[held[universe[at[held]] == own[held]]]
+            count = edges[at + 1] - edges[at]
+            spot = np.arange(count.sum()) + np.repeat(edges[at] - (np.cumsum(count) - count), count)
+            inter = np.bincount(holder[spot], minlength=len(chosen))
+            union = len(own) + sizes - inter
+            linked = []
+            for g in np.unique(lead[den * inter >= num * union]).tolist():
+                a = top(grp)
+                if g != a:
+                    linked.append(g)
+                    above[g] = a
+                    lead[lead == g] = a
+            far = 1 - inter[:63] / union[:63]
             out["pivot"].append(node in taken)
-            out["mask"].append(sum(1 << k for k in near))
-            out["linked"].append([names[k] for k in near if names[k] != node])
-            out["homes"].append([names[k] for k in np.flatnonzero(far <= far.min() + 2 * reach + 1e-9)])
-        kinds = {"pivot": pa.bool_(), "mask": pa.int64(), "linked": pa.list_(pa.int64()), "homes": pa.list_(pa.int64())}
-        kept = {c: members[c] for c in ("region", "node", "size", "set")}
+            out["linked"].append(linked)
+            out["homes"].append(names[:63][far <= far.min(initial=2) + 2 * reach + 1e-9].tolist())
+        kinds = {"pivot": pa.bool_(), "linked": pa.list_(pa.int64()), "homes": pa.list_(pa.int64())}
+        kept = {c: members[c] for c in ("region", "node", "size", "set", "grp")}
         return pa.table({**kept, **{c: pa.array(v, kinds[c]) for c, v in out.items()}})
 
+    rows = rows.withColumn("grp", F.col("node"))
     while True:
         rows = cut(rows)
-        heft = rows.groupBy("region").agg(F.sum("size").alias("heft"), F.count(F.lit(1)).alias("m"), F.min(F.xxhash64("node")).alias("low"))
-        weighed = rows.join(cut(heft), "region")
-        small_ones.append(weighed.filter(F.col("heft") <= limit).select("region", "node", "size", "set"))
+        groups = rows.groupBy("region", "grp").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("heft"))
+        heft = groups.groupBy("region").agg(F.sum("heft").alias("heft"), F.sum("m").alias("m"), F.max(F.struct("m", "heft", "grp")).alias("main"))
+        weighed = rows.join(cut(heft.filter(F.col("m") > F.col("main.m"))), "region")
+        small_ones.append(weighed.filter(F.col("heft") <= limit).select("region", "node", "size", "set", "grp"))
         large = weighed.filter(F.col("heft") > limit).withColumn("salts", F.ceil(F.col("heft") / limit).cast("int") * 4)
         if large.isEmpty():
             break
-        place = (F.shiftright(F.xxhash64("node"), 1) + F.lit(2**62)) / F.lit(float(2**63))
-        pivots = cut(large.filter((place * F.col("m") < 40) | (F.xxhash64("node") == F.col("low"))).select("region", "node", "set", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")))
-        salted = large.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(1)), F.col("salts")).cast("int")).select("region", "salt", "node", "size", "set")
+        others = F.col("m") - F.col("main.m")
+        most = F.greatest(F.lit(8.0), F.least(F.lit(63.0 * 4.0**turn), others * (limit / 2) / (F.col("heft") - F.col("main.heft"))))
+        place = (F.shiftright(F.xxhash64("node", F.lit(turn)), 1) + F.lit(2**62)) / F.lit(float(2**63))
+        drawn = large.filter((F.col("grp") != F.col("main.grp")) & (place * others < most))
+        pivots = cut(drawn.select("region", "node", "set", "grp", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")))
+        salted = large.withColumn("salt", F.pmod(F.xxhash64("node", F.lit("salt")), F.col("salts")).cast("int")).select("region", "salt", "node", "size", "set", "grp")
         met = cut(salted.groupBy("region", "salt").cogroup(pivots.groupBy("region", "salt")).applyInArrow(meet, schema))
-        links.append(met.select(F.col("node").alias("src"), F.explode("linked").alias("dst")))
-        bits = F.filter(F.sequence(F.lit(0), F.lit(62)), lambda b: F.col("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), b)) != 0)
-        reached = met.select("region", "mask", F.explode(bits).alias("bit")).groupBy("region", "bit").agg(F.bit_or("mask").alias("reach"))
-        one = reached.groupBy("region").applyInArrow(connected, "region long, one boolean")
-        shape = met.groupBy("region").agg(F.min(F.col("mask") != 0).alias("all_linked"), (F.sum(F.size("homes")) <= 2 * F.count(F.lit(1))).alias("divides"))
-        fate = cut(shape.join(one, "region", "left").select("region", "divides", (F.col("all_linked") & F.col("one").isNotNull()).alias("done")))
-        going = met.filter(~F.col("pivot")).join(fate, "region").filter(~F.col("done"))
+        link = cut(met.select(F.col("grp").alias("src"), F.explode("linked").alias("dst")).distinct())
+        going = met.filter(~F.col("pivot"))
+        if not link.isEmpty():
+            links.append(link)
+            merged = groups_of(link).select(F.col("node").alias("grp"), "group")
+            going = going.join(merged, "grp", "left").withColumn("grp", F.coalesce("group", "grp"))
+        widest = going.select("region", F.explode("homes").alias("home")).groupBy("region", "home").count().groupBy("region").agg(F.max("count").alias("widest"), F.sum("count").alias("total"))
+        fate = widest.join(going.groupBy("region").agg(F.count(F.lit(1)).alias("left")), "region")
+        fate = cut(fate.select("region", ((F.col("total") <= 2 * F.col("left")) & (2 * F.col("widest") < F.col("left"))).alias("divides")))
         child = F.when(F.col("divides"), F.transform("homes", lambda h: F.xxhash64("region", h))).otherwise(F.array("region"))
-        rows = going.select(F.explode(child).alias("region"), "node", "size", "set")
+        rows = going.join(fate, "region", "left").select(F.explode(child).alias("region"), "node", "size", "set", "grp")
+        turn += 1
     out = small_ones[0]
     for s in small_ones[1:]:
         out = out.unionByName(s)

@@ -3,7 +3,8 @@ import random
 import numpy as np
 import pytest
 
-from surfparc.llm.jaccard import Region, similar_groups
+from surfparc.llm import jaccard
+from surfparc.llm.jaccard import Region, divide, groups_of, similar_groups
 from tests.llm.helpers import ODD, documents, sentence, spaced_words
 
 
@@ -58,6 +59,53 @@ def test_large_regions_are_divided(spark):
     assert got == brute(list(range(len(t))), t, 3, 60, 100)
 
 
+def few_rounds(monkeypatch, most):
+    """Stop ``divide`` if it writes more tables than ``most``."""
+    real, calls = jaccard.cut, []
+
+    def counted(df):
+        calls.append(1)
+        assert len(calls) <= most, "too many rounds"
+        return real(df)
+
+    monkeypatch.setattr(jaccard, "cut", counted)
+
+
+def divided_groups(spark, sets, region):
+    rows = [(0, k, len(s), bytearray(np.sort(s).tobytes())) for k, s in enumerate(sets)]
+    ready, links = divide(spark.createDataFrame(rows, "region long, node long, size long, set binary"), region, 80, 100)
+    found = ready.repartition("region").sortWithinPartitions("region", "node").mapInArrow(lambda it: jaccard.join_regions(it, 80, 100), "src long, dst long")
+    for link in links:
+        found = found.unionByName(link)
+    out = {}
+    for r in groups_of(found).collect():
+        out.setdefault(r.group, set()).add(r.node)
+    return sorted(sorted(g) for g in out.values())
+
+
+def test_region_of_unlinked_sets_is_divided_in_few_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    sets = list(rng.integers(0, 2**63, (3000, 8), dtype=np.uint64))
+    for a, b in ((5, 2900), (1200, 1201)):
+        sets[b] = np.append(sets[a], rng.integers(0, 2**63, dtype=np.uint64))
+    few_rounds(monkeypatch, 120)
+    assert divided_groups(spark, sets, 8000) == [[5, 2900], [1200, 1201]]
+
+
+def test_region_of_near_copies_with_outsiders_ends(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    sets = []
+    for k in range(1500):
+        s = base.copy()
+        s[rng.integers(0, 40)] = rng.integers(0, 2**63, dtype=np.uint64)
+        if k % 100 == 7:
+            s[:20] = rng.integers(0, 2**63, 20, dtype=np.uint64)
+        sets.append(s)
+    few_rounds(monkeypatch, 60)
+    assert divided_groups(spark, sets, 8000) == [[k for k in range(1500) if k % 100 != 7]]
+
+
 def test_region_recursion_links_every_near_pair():
     rng = np.random.default_rng(2)
     sets = []
