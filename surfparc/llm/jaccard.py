@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +22,8 @@ RATIO = 1.25
 LEAF = 32
 PIVOTS = 8
 REGION = 4_000_000
+# Splits into parts that a set may try; subset keys of a set, if one shingle each isn't more; shingles that make a subset specific.
+TRIES, SUBSETS, SPECIFIC = 4, 24, 5
 
 
 class Sets:
@@ -78,6 +83,7 @@ def most_differing(size: np.ndarray | int, hi: int, num: int, den: int) -> np.nd
     return (size + np.minimum(hi - 1, size * den // num)) * (den - num) // (den + num)
 
 
+@lru_cache(maxsize=4096)
 def parts_of(lo: int, hi: int, num: int, den: int) -> int:
     """Number of parts for a band: the fewest of which, at any size, two standard deviations more than those that may differ or be weak remain."""
     sizes = np.array([max(1, lo * num // den), lo, hi - 1])
@@ -97,6 +103,51 @@ def parts_of(lo: int, hi: int, num: int, den: int) -> int:
     return best
 
 
+@lru_cache(maxsize=4096)
+def subset_length(lo: int, hi: int, num: int, den: int) -> tuple[int, bool]:
+    """Shingles per subset key in a band: the most that give no size over ``SUBSETS`` keys, one at least; and whether that is specific enough for all its sets."""
+    shared = -(-lo * num // den)
+    sizes = range(shared, hi)
+    for length in range(shared, 0, -1):
+        if all(comb(s - max(shared, -(-s * num // den)) + length, length) <= SUBSETS for s in sizes):
+            return length, length >= min(SPECIFIC, shared)
+    return 1, False
+
+
+def part_keys(sets: Sets, inside: np.ndarray, parts: int, hi: int, seed: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the parts with two shingles or more, their rows, and the rows that have too few of them."""
+    size = sets.size[inside]
+    ends = np.cumsum(size)
+    h = sets.hash[np.arange(ends[-1]) + np.repeat(sets.start[inside] - (ends - size), size)]
+    scrambled = mix(h ^ seed)
+    slot = np.repeat(np.arange(len(inside)), size) * parts + (scrambled % U(parts)).astype(np.int64)
+    order = np.argsort(slot, kind="stable")
+    slot, value = slot[order], mix(scrambled[order])
+    at = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
+    total = np.add.reduceat(value, at)
+    strong = np.diff(np.append(at, len(slot))) > 1
+    cell, where = slot[at][strong], slot[at][strong] // parts
+    weak = parts - np.bincount(where, minlength=len(inside))
+    few = weak > parts - 1 - most_differing(size, hi, num, den)
+    return mix(total[strong] + mix((cell % parts).astype(np.uint64) * U(4099) + seed)), inside[where], inside[few]
+
+
+def subset_keys(sets: Sets, inside: np.ndarray, lo: int, length: int, seed: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the subsets of ``length`` shingles among the lowest, and their rows."""
+    keys, rows = [], []
+    for s in np.unique(sets.size[inside]).tolist():
+        who = inside[sets.size[inside] == s]
+        prefix = s - max(-(-lo * num // den), -(-s * num // den)) + length
+        low = mix(sets.hash[sets.start[who][:, None] + np.arange(prefix)] ^ seed)
+        pick = np.array(list(combinations(range(prefix), length)))
+        total = np.zeros((len(who), len(pick)), np.uint64)
+        for k in range(length):
+            total += low[:, pick[:, k]]
+        keys.append(mix(total + mix(seed)).ravel())
+        rows.append(np.repeat(who, len(pick)))
+    return np.concatenate(keys), np.concatenate(rows)
+
+
 def cell_keys(sets: Sets, node: np.ndarray, rows: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """(key, node) of the cells each set lies in.
 
@@ -105,46 +156,38 @@ def cell_keys(sets: Sets, node: np.ndarray, rows: np.ndarray, num: int, den: int
     equal, at distance zero from one pivot projection, and its sets share that
     cell. A set also goes to the cells of the next band if the size window of a
     link reaches there. Linked sets of sizes a and b differ in at most
-    (a + b)(den - num) / (den + num) shingles. Parts of fewer than two shingles
-    are left out while those and the parts that may differ are fewer than all,
-    so that an equal part with two shingles must remain; else all are kept.
+    (a + b)(den - num) / (den + num) shingles. Only parts of two shingles or more
+    give cells. One of them must be equal while the others and the parts that may
+    differ are fewer than all, for either set of a pair. Sets for which they
+    aren't go on to another split, ``TRIES`` in all: a pair meets in the first
+    split in which one of its sets has enough.
+
+    What still has too few, and all sets of bands where ``subset_length`` is
+    specific, give the subsets of ``length`` shingles among their
+    s - c + length lowest, where c is the least that a set of size s shares with
+    a linked one: the ``length`` lowest shared shingles are such a subset of both.
+    Bands whose sets are linked only if equal need no cells.
     """
-    keys, nodes = [], []
+    keys, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     if not len(rows):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return keys[0].view(np.int64), nodes[0]
     for number, (lo, hi) in enumerate(bands(int(sets.size.max()) * den // num + 1)):
-        inside = rows[(sets.size[rows] < hi) & (sets.size[rows] * den >= lo * num)]
-        if not len(inside):
+        left = rows[(sets.size[rows] < hi) & (sets.size[rows] * den >= lo * num)]
+        if not len(left) or most_differing(np.arange(-(-lo * num // den), hi), hi, num, den).max() == 0:
             continue
-        parts = parts_of(lo, hi, num, den)
-        pick = np.zeros(len(sets.size), bool)
-        pick[inside] = True
-        some = pick[sets.row]
-        h, row = sets.hash[some], sets.row[some]
-        scrambled = mix(h ^ U(0x9E6C63D0876A9A35))
-        dense = np.cumsum(pick) - 1
-        slot = dense[row] * parts + (scrambled % U(parts)).astype(np.int64)
-        order = np.argsort(slot, kind="stable")
-        slot, value = slot[order], mix(scrambled[order])
-        new = np.append(True, slot[1:] != slot[:-1])
-        at = np.flatnonzero(new)
-        total = np.add.reduceat(value, at)
-        size = np.diff(np.append(at, len(slot)))
-        cell, where = slot[at], slot[at] // parts
-        weak = parts - np.bincount(where[size > 1], minlength=len(inside))
-        every = weak > parts - 1 - most_differing(sets.size[np.flatnonzero(pick)], hi, num, den)
-        keep = (size > 1) | every[where]
-        label = mix(total + mix((cell % parts).astype(np.uint64) * U(4099) + U(number)))
-        keys.append(label[keep])
-        nodes.append(node[np.flatnonzero(pick)][where[keep]])
-        if every.any():
-            for k in np.flatnonzero(every):
-                present = np.zeros(parts, bool)
-                present[cell[where == k] % parts] = True
-                empty = np.flatnonzero(~present).astype(np.uint64)
-                keys.append(mix(mix(empty * U(4099) + U(number))))
-                nodes.append(np.full(len(empty), node[np.flatnonzero(pick)[k]]))
-    return (np.concatenate(keys).view(np.int64), np.concatenate(nodes)) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        seeds = mix(np.arange(TRIES + 1, dtype=np.uint64) * U(4099 * 4099) + U(number) + U(0x9E6C63D0876A9A35))
+        length, specific = subset_length(lo, hi, num, den)
+        for k in range(0 if specific else TRIES):
+            key, row, left = part_keys(sets, left, parts_of(lo, hi, num, den), hi, seeds[k : k + 1], num, den)
+            keys.append(key)
+            nodes.append(node[row])
+            if not len(left):
+                break
+        if len(left):
+            key, row = subset_keys(sets, left, lo, length, seeds[TRIES:], num, den)
+            keys.append(key)
+            nodes.append(node[row])
+    return np.concatenate(keys).view(np.int64), np.concatenate(nodes)
 
 
 def describe(batches: Iterator[pa.RecordBatch], keys: int, width: int) -> Iterator[pa.RecordBatch]:
@@ -432,8 +475,8 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     a component is what links connect, named by its smallest ``key``.
 
     1. Rows with equal sets become one node.
-    2. Equal projections onto parts of the shingle universe gather every linked
-       pair in a cell (``cell_keys``); cells chain nodes into regions, and only
+    2. Equal projections onto parts of the shingle universe, or equal subsets of
+       the lowest shingles, gather every linked pair in a cell (``cell_keys``); cells chain nodes into regions, and only
        nodes with company go on.
     3. Each region is joined exactly: pivots, Voronoi regions with all documents
        in the triangle-inequality window of twice the reach, recursion

@@ -106,6 +106,42 @@ def test_region_of_near_copies_with_outsiders_ends(spark, monkeypatch):
     assert divided_groups(spark, sets, 8000) == [[k for k in range(1500) if k % 100 != 7]]
 
 
+def arranged(sets):
+    """``Sets`` of given shingles."""
+    s = object.__new__(jaccard.Sets)
+    s.size = np.array([len(x) for x in sets])
+    s.start = np.concatenate([[0], np.cumsum(s.size)])
+    s.row, s.hash = np.repeat(np.arange(len(sets)), s.size), np.concatenate([np.sort(x) for x in sets])
+    return s
+
+
+@pytest.mark.parametrize(("num", "sizes"), [(80, (*range(1, 26), 40, 80)), (90, (*range(1, 32), 80)), (50, range(1, 16)), (30, range(1, 10))])
+def test_cells_hold_every_linked_pair_and_no_strangers(num, sizes):
+    rng = np.random.default_rng(num)
+    new = lambda n: rng.integers(0, 2**63, n, dtype=np.uint64)
+    sets = []
+    for n in sizes:
+        for _ in range(6):
+            a = new(n)
+            for add in range(0, n, 1 + n // 12):
+                for drop in {0, add, n * (100 - num) // 100} - {n}:
+                    if 100 * (n - drop) >= num * (n + add) and (add or drop):
+                        sets += [a, np.concatenate([rng.permutation(a)[drop:], new(add)])]
+            sets += [new(n), new(n)]
+    s = arranged(sets)
+    key, node = jaccard.cell_keys(s, np.arange(len(sets)), np.arange(len(sets)), num, 100)
+    cells = {}
+    for k, v in zip(key.tolist(), node.tolist(), strict=True):
+        cells.setdefault(k, set()).add(v)
+    together = {(a, b) for c in cells.values() for a in c for b in c if a < b}
+    for a in range(len(sets) - 1):
+        inter = len(np.intersect1d(sets[a], sets[a + 1]))
+        if len(sets[a]) + len(sets[a + 1]) > 2 * inter and 100 * inter >= num * (len(sets[a]) + len(sets[a + 1]) - inter):
+            assert (a, a + 1) in together
+    for a, b in together:
+        assert np.isin(sets[a], sets[b]).any()
+
+
 def test_region_recursion_links_every_near_pair():
     rng = np.random.default_rng(2)
     sets = []
