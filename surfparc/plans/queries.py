@@ -679,7 +679,7 @@ def geodesic_distance(spark, folder):
 def diffusion_embedding(spark, folder):
     m = mesh_table(spark, folder)
     d = graph.geodesic_distances(_cost_surface(m), grid_edges(m), ["sub"], "g")
-    emb = diffusion_map(d, ["sub"], 3)
+    emb = diffusion_map(d, ["sub"], 100)
     return emb.select("sub", "v", F.posexplode("emb").alias("pos", "coordinate")).withColumn("coordinate", F.round("coordinate", 3))
 
 
@@ -850,14 +850,14 @@ def _cohort(spark, folder):
 @query
 def group_prior_training(spark, folder):
     m, _, mask, cent = _cohort(spark, folder)
-    t = group_prior.Training(sessions=2, n_subjects=_n_subjects(spark, folder), max_inter=1, max_intra=1, max_em=2, max_m=3, max_var=2)
+    t = group_prior.Training(sessions=2, n_subjects=_n_subjects(spark, folder))
     got = group_prior.train(profile(m, 2), mask, cent, t, DIM - 1)
     return got["theta"].withColumn("theta", F.round("theta", 4))
 
 
 def _parcellate(spark, folder, variant):
     m, theta, _, cent = _cohort(spark, folder)
-    s = parcellation.Settings(sessions=2, n_labels=9, n_vertices=MESH_SIZE, w=1.0, c=0.5, beta=0.001, max_intra=1, max_em=1, max_lambda=2, max_m=5, max_pieces_rounds=1)
+    s = parcellation.Settings(sessions=2, n_labels=9, n_vertices=MESH_SIZE, w=1.0, c=0.5, beta=0.001)
     parcel = cent.select("l", F.col("mtc").alias("mu"), F.lit(60.0).alias("sigma"), F.lit(60.0).alias("eps"))
     grad = m.select("sub", "v", F.col("emb").alias("grad"))
     return parcellation.parcellate(profile(m, 2), theta, parcel, m, grid_edges(m), variant, s, DIM - 1, grad)["labels"]
