@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from surfparc.llm import chat, decontaminate, jaccard, langid, licenses, packing, quality, sharding, suffix, topk
+from surfparc.llm import chat, decontaminate, jaccard, langid, licenses, packing, quality, repair, runs, sharding, suffix, topk, toxicity
 
 QUERIES = {
     "op1_suffix_dedup": suffix.op1_suffix_dedup,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_exact_top_k": topk.op8_exact_top_k,
     "op9_language_id": langid.op9_language_id,
     "op10_chat_formatting": chat.op10_chat_formatting,
+    "op11_conversation_repair": repair.op11_conversation_repair,
+    "op12_toxicity": toxicity.op12_toxicity,
+    "op13_periodic_runs": runs.op13_periodic_runs,
 }
 
 ORACLES = {
@@ -22,4 +25,5 @@ ORACLES = {
     "op4_decontamination": decontaminate.ORACLE,
     "op8_exact_top_k": topk.ORACLE,
     "op10_chat_formatting": chat.ORACLE,
+    "op11_conversation_repair": repair.ORACLE,
 }
