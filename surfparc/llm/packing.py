@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,17 +20,39 @@ from surfparc.session import cut
 
 CAPACITY = 4096
 END_ID = 2
-CACHED = 150_000
-# Characters whose lower case and splitting this module does itself; others go to the tokenizer whole.
-PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]*")
-PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+CACHED = 300_000
+# Characters whose lower case and splitting this module does itself: ASCII and the Latin letters up to U+00FF.
+LETTERS, DIGITS = "a-zß-öø-ÿ", "0-9"
+PLAIN = r"\x21-\x7eÀ-ÖØ-öø-ÿ"
+# A stretch without white space that holds another character or may hold a special token goes to the tokenizer whole.
+ODD = re.compile(rf"((?<![^\x20\t-\r])[^\x20\t-\r]*?(?:[^\x20\t-\r{PLAIN}]|<\|)[^\x20\t-\r]*)")
+ANY_ODD = re.compile(rf"[^\x20\t-\r{PLAIN}]")
 
 
-def word_bpe_encoder(path: str | None = None) -> Callable[[list[list[bytes]]], list[bytes]]:
-    """Encoder of texts split at ASCII white space into little-endian 32-bit ids.
+def lower_case_words(rules: dict) -> re.Pattern | None:
+    """The tokenizer's own splitting pattern for plain lower-case text, if it is of the kind that can be applied word by word.
 
-    No rule of this tokenizer reaches over white space, so a text's ids are those
-    of its chunks. Ids of common chunks and words are remembered by the worker.
+    That is: text is composed, its white space folded and lower-cased, then a
+    pattern picks words, whose letters and digits are its only classes.
+    """
+    normal = [n["type"] for n in (rules["normalizer"] or {}).get("normalizers", [])]
+    split = (rules["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+    if normal != ["NFC", "Replace", "Lowercase"] or [t.get("type") for t in split] != ["Split", "ByteLevel"]:
+        return None
+    words, bytes_ = split
+    if words["behavior"] != "Removed" or not words["invert"] or bytes_["add_prefix_space"] or bytes_["use_regex"]:
+        return None
+    pattern = words["pattern"].get("Regex", r"\p").replace(r"\p{L}", LETTERS).replace(r"\p{N}", DIGITS)
+    return None if r"\p" in pattern or re.fullmatch(pattern, " ") else re.compile(pattern)
+
+
+def encoder(path: str | None = None) -> Callable[[list[bytes]], list[bytes]]:
+    """Encoder of texts into little-endian 32-bit ids, the same as the tokenizer gives for each whole text.
+
+    Where the file's rules allow it, plain text is lower-cased and split here and
+    only words are looked up; ids of common words are remembered by the worker,
+    the oldest half is forgotten when ``CACHED`` are kept. Any other tokenizer
+    encodes whole texts.
     """
     from tokenizers import Tokenizer, pre_tokenizers
 
@@ -36,41 +60,41 @@ def word_bpe_encoder(path: str | None = None) -> Callable[[list[list[bytes]]], l
         import public_tokenizers
 
         path = public_tokenizers.path("word_bpe_49k.json")
-    kept = process_cache(f"word_bpe {path}")
+    kept = process_cache(f"tokenizer {path}")
     if not kept:
+        with open(path, encoding="utf-8") as file:
+            pattern = lower_case_words(json.load(file))
         bare = Tokenizer.from_file(path)
-        bare.normalizer = None
-        bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        kept |= {"whole": Tokenizer.from_file(path), "bare": bare, "chunks": {}, "words": {}}
-    chunks, words = kept["chunks"], kept["words"]
-
-    def learn(missing: set[bytes]) -> dict[bytes, bytes]:
-        plain, odd = {}, []
-        for c in missing:
-            s = c.decode("utf-8", "replace")
-            if PLAIN.fullmatch(s) and "<|" not in s:
-                plain[c] = PRETOKEN.findall(s.lower())
-            else:
-                odd.append(c)
-        new = list({w for ws in plain.values() for w in ws if w not in words})
-        ids = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, kept["bare"].encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        if len(words) < CACHED:
-            words.update(ids)
-        known = {**ids}
-        found = {c: b"".join([known[w] if w in known else words[w] for w in ws]) for c, ws in plain.items()}
-        coded = kept["whole"].encode_batch([c.decode("utf-8", "replace") for c in odd], add_special_tokens=False)
-        found.update({c: np.array(e.ids, "<u4").tobytes() for c, e in zip(odd, coded, strict=True)})
-        return found
-
-    def encode(texts: list[list[bytes]]) -> list[bytes]:
-        missing = {c for t in texts for c in t if c not in chunks}
-        found = learn(missing) if missing else {}
-        if len(chunks) < CACHED:
-            chunks.update(found)
-            get = chunks.__getitem__
-        else:
-            get = lambda c: chunks.get(c) or found.get(c, b"")
-        return [b"".join(map(get, t)) for t in texts]
+        if pattern is not None:
+            bare.normalizer = None
+            bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        kept |= {"whole": Tokenizer.from_file(path), "bare": bare, "pattern": pattern, "words": {}, "odd": {}}
+    pattern, words, odd = kept["pattern"], kept["words"], kept["odd"]
+    packed = lambda coded: [np.array(e.ids, "<u4").tobytes() for e in coded]
+
+    def room(memory: dict) -> None:
+        if len(memory) > CACHED:
+            for w in list(islice(memory, CACHED // 2)):
+                del memory[w]
+
+    def encode(texts: list[bytes]) -> list[bytes]:
+        plain = [t.decode("utf-8", "replace") for t in texts]
+        if pattern is None:
+            return packed(kept["whole"].encode_batch(plain, add_special_tokens=False))
+        # Plain text and odd stretches take turns.
+        parts = [ODD.split(t) if "<|" in t or ANY_ODD.search(t) else [t] for t in plain]
+        split = [[pattern.findall(p.lower()) for p in ps[::2]] for ps in parts]
+        room(words)
+        room(odd)
+        new = list(set().union(*(ws for t in split for ws in t)).difference(words))
+        words.update(zip(new, packed(kept["bare"].encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        new = list({c for ps in parts for c in ps[1::2]}.difference(odd))
+        odd.update(zip(new, packed(kept["whole"].encode_batch(new, add_special_tokens=False)), strict=True))
+        out = []
+        for ps, t in zip(parts, split, strict=True):
+            body = [b"".join(map(words.__getitem__, ws)) for ws in t]
+            out.append(body[0] if len(ps) == 1 else b"".join(x for n, b in enumerate(body) for x in ((b,) if n == 0 else (odd[ps[2 * n - 1]], b))))
+        return out
 
     return encode
 
@@ -105,15 +129,15 @@ def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", cap
     tail = np.array([end_id], "<u4").tobytes()
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, nth, part = word_bpe_encoder(tokenizer), [0] * (top + 1), TaskContext.get().partitionId()
+        encode, nth, part = encoder(tokenizer), [0] * (top + 1), TaskContext.get().partitionId()
         for batch in batches:
             keys = batch.column(0)
             raw, offsets = buffers(batch.column(1))
             data = raw.tobytes()
             for lo, hi in portions(offsets):
                 row, start, length, total, level, number, ids = [], [], [], [], [], [], []
-                split = [data[offsets[i] : offsets[i + 1]].split() for i in range(lo, hi)]
-                for i, body in zip(range(lo, hi), encode(split), strict=True):
+                texts = [data[offsets[i] : offsets[i + 1]] for i in range(lo, hi)]
+                for i, body in zip(range(lo, hi), encode(texts), strict=True):
                     body += tail
                     n, at = len(body) // 4, 0
                     for m in piece_lengths(n, capacity):

@@ -1,8 +1,10 @@
+import json
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from surfparc.llm import packing
@@ -40,13 +42,28 @@ def test_pieces_hold_every_id_once_and_sequences_fill(spark):
     assert sum(1 for s in seqs.values() if s[0].sequence_length == 4096) == sum(r.length for r in rows) // 4096 or len(seqs) < 60
 
 
-def test_encoder_when_its_memory_is_full(spark, monkeypatch):
-    monkeypatch.setattr(packing, "CACHED", 0)
-    encode = packing.word_bpe_encoder()
-    coder = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    texts = ["never seen zqx zqx!! words", "ünd"]
-    got = encode([t.encode().split() for t in texts])
-    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [coder.encode(t, add_special_tokens=False).ids for t in texts]
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_equals_the_tokenizer(monkeypatch, name):
+    """Both public tokenizers, with ample memory for words and with none; every kind of odd stretch."""
+    path = public_tokenizers.path(name)
+    coder = Tokenizer.from_file(path)
+    rng = random.Random(1)
+    odd = ["<|endoftext|>", "a<|endoftext|>b", "<|x", "İstanbul", "ΑΣ", "½", "日本語", "a\x1cb", "d\x85e", "c\u3000d", "e\u0301", "ªº", "µ", "\u00a0", "it's", "I'LL'd", "''s", "3.14", "_x_", "ÀÉ", "ß×÷"]
+    texts = [*[t or "" for t in ODD], "never seen zqx zqx!! words", *[f"x{o}y {o} {o}{o}" for o in odd]]
+    texts += [" ".join(rng.choice([*odd, sentence(rng, 2), "\n", "\t "]) for _ in range(30)) for _ in range(40)]
+    want = [coder.encode(t, add_special_tokens=False).ids for t in texts]
+    for cached in (packing.CACHED, 0, 3):
+        monkeypatch.setattr(packing, "CACHED", cached)
+        encode = packing.encoder(path)
+        for _ in range(2):
+            assert [np.frombuffer(g, "<u4").tolist() for g in encode([t.encode() for t in texts])] == want
+
+
+def test_other_rules_are_not_taken_for_the_known_ones():
+    rules = json.load(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8"))
+    assert packing.lower_case_words(rules).findall("it's 42 ünd, so!") == ["it", "'s", "4", "2", "ünd", ",", "so", "!"]
+    assert packing.lower_case_words(rules | {"normalizer": None}) is None
+    assert packing.lower_case_words(json.load(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8"))) is None
 
 
 def test_packing_an_empty_table(spark):
