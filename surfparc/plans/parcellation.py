@@ -2,24 +2,29 @@
 
 Subjects are independent here. They run side by side in the same tables and each
 leaves a loop when it converges, so a slow subject never holds the others' rows
-in play and no subject is ever gathered into one task.
+in play. Passes over the observations run on bounded blocks. What a mesh bounds,
+a subject's candidate cells, comes together once per EM round: the assignment
+loop and the piece check around it run on its arrays in one task, so Spark jobs
+are as many as EM rounds, not as assignment rounds.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surfparc.functions.special import cdln_column, initial_concentration
-from surfparc.functions.vectors import dot, log_or_neg_inf, scale, unit_sphere
-from surfparc.operators import em
-from surfparc.operators.aggregates import em_cost
-from surfparc.operators.connectedness import connectedness
-from surfparc.operators.graph import potts, remove_isolated
+from surfparc.functions.special import cdln, cdln_column, initial_concentration
+from surfparc.functions.vectors import dot, scale
+from surfparc.operators import em, subject
+from surfparc.operators.blocks import renewed
+from surfparc.operators.graph import remove_isolated
 from surfparc.operators.ranking import argmax_labels
-from surfparc.session import cut
+from surfparc.session import cut, forget, pin
 
 
 @dataclass(frozen=True)
@@ -75,118 +80,90 @@ def starting_concentration(dim: int) -> float:
     return 650.0 if dim == 1482 else initial_concentration(dim)
 
 
-def lambda_loop(cells: DataFrame, edges: DataFrame, s: Settings) -> DataFrame:
-    """Iterate Potts term and assignment until the drift stops changing, per subject."""
-    out, running, last = None, cells, None
-    for i in range(1, s.max_lambda + 2):
-        step = cut(em.assignment_round(potts(running.drop("v_potts"), edges, ["sub"]), s.c))
-        drift = step.groupBy("sub").agg((F.sum(F.abs(F.col("new") - F.col("lam"))) / float(s.n_vertices * s.n_labels)).alias("drift"))
-        if last is None:
-            gap = drift.withColumn("gap", F.abs("drift"))
-        else:
-            gap = drift.join(last, "sub").withColumn("gap", F.abs(F.col("drift") - F.col("before")))
-        gap = cut(gap)
-        done = gap if i > s.max_lambda else gap.filter(F.col("gap") <= s.epsilon)
-        moved = step.withColumn("lam", F.col("new")).drop("new")
-        finished, running = em.frozen(moved, done)
-        out = finished if out is None else out.unionByName(finished)
-        if running.isEmpty():
-            return cut(out)
-        last = gap.select("sub", F.col("drift").alias("before"))
-    return cut(out)
-
-
-def _check(cells: DataFrame, gamma: DataFrame, vertices: DataFrame, edges: DataFrame, v: Variant, s: Settings) -> DataFrame:
-    far = v.connect_distance if s.connect_distance is None else s.connect_distance
-    labels = argmax_labels(cells, ["sub", "v"], "l", "lam").select("sub", "v", "label")
-    where = vertices.join(labels, ["sub", "v"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
-    flags = connectedness(
-        cut(where), edges, gamma.withColumnRenamed("l", "label"), ["sub"], s.n_labels, far, v.max_pieces, s.spacing,
-        s.isolated_below if v.clean_before_check else None,
+STATE = "sub long, v long, l int, theta double, lam double, sxv double, gamma double, cost double, cost_em double, done boolean"
+
+
+def mesh_rows(vertices: DataFrame, edges: DataFrame, gradient: DataFrame | None) -> DataFrame:
+    """One row of arrays per subject: its mesh, the edges between active vertices and the gradients, pinned by subject."""
+    g = vertices.withColumn("grad", F.lit(None).cast("array<double>")) if gradient is None else vertices.join(
+        gradient.select("sub", "v", F.col("grad").cast("array<double>").alias("grad")), ["sub", "v"], "left"
     )
-    return cut(flags.select("sub", F.col("label").alias("l"), "gamma", "distributed"))
-
-
-def assign(cells: DataFrame, gamma: DataFrame, vertices: DataFrame, edges: DataFrame, sphere: DataFrame, v: Variant, s: Settings, em_round: int):
-    """Assignment loop, wrapped by the piece check where the variant has one."""
-    beta = s.beta * v.beta_scale
-    out_c, out_g = None, None
-    rounds = s.max_pieces_rounds if v.check_pieces and em_round >= v.first_check else 1
-    for i in range(1, rounds + 1):
-        score = F.col("base")
-        if v.gradient_prior:
-            score = score + beta * F.col("scv") + F.col("sxv")
-        elif v.sphere_prior:
-            score = score + beta * F.col("sxv")
-        cells = lambda_loop(cells.withColumn("score0", score), edges, s)
-        if not (v.check_pieces and em_round >= v.first_check):
-            return cells, gamma
-        checked = _check(cells, gamma, vertices, edges, v, s)
-        gamma = checked.select("sub", "l", "gamma")
-        cells = cut(em.sphere_prior(cells.drop("sxv"), sphere, gamma))
-        still = checked.groupBy("sub").agg(F.bool_or("distributed").alias("any"))
-        done = cut(still if i == rounds else still.filter(~F.col("any")))
-        fin_c, cells = em.frozen(cells, done)
-        fin_g, gamma = em.frozen(gamma, done)
-        out_c = fin_c if out_c is None else out_c.unionByName(fin_c)
-        out_g = fin_g if out_g is None else out_g.unionByName(fin_g)
-        if cells.isEmpty():
-            break
-    return cut(out_c), cut(out_g)
+
+    def build(v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        if not len(v):
+            return pd.DataFrame(columns=["sub", "ids", "x", "y", "z", "src", "dst", "gradient"])
+        v = v.sort_values("v", ignore_index=True)
+        ids = v["v"].to_numpy()
+        known = [g for g in v["grad"] if g is not None]
+        missing = np.full(len(known[0]) if known else 1, np.nan)
+        grad = np.concatenate([missing if g is None else g for g in v["grad"]])
+        ends = [np.searchsorted(ids, e[c].to_numpy(dtype=np.int64)).astype(np.int32) for c in ("src", "dst")]
+        return pd.DataFrame({"sub": [v["sub"].iloc[0]], "ids": [ids], **{c: [v[c].to_numpy(dtype=float)] for c in "xyz"}, "src": [ends[0]], "dst": [ends[1]], "gradient": [grad]})
+
+    kind = dict(vertices.dtypes)["sub"]
+    schema = f"sub {kind}, ids array<long>, x array<double>, y array<double>, z array<double>, src array<int>, dst array<int>, gradient array<double>"
+    rows = g.groupBy("sub").cogroup(renewed(edges).groupBy("sub")).applyInPandas(build, schema).withColumn("sub", F.col("sub").cast("long"))
+    return pin(rows, ["sub"], int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def settled(cost: float, before: float) -> bool:
+    """A cost that moved by at most 1e-4 of the last one; NaN, and zero after zero, count as settled."""
+    if np.isnan(cost) or np.isnan(before):
+        return True
+    return abs((cost - before) / before) <= 1e-4 if before != 0 else cost == 0
+
+
+def expectation_round(cells: DataFrame, mesh: DataFrame, v: Variant, s: Settings, dim: int, em_round: int) -> DataFrame:
+    """Posterior, priors and cost of every subject; the whole assignment loop runs on one subject's arrays in a task."""
+
+    def step(c: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        if not len(c) or not len(m):
+            return pd.DataFrame(columns=[x.split()[0] for x in STATE.split(", ")])
+        c = c.sort_values(["v", "l"], ignore_index=True)
+        mine = subject.Cells(subject.Mesh.from_row(m.iloc[0]), c["v"].to_numpy(), c["l"].to_numpy())
+        acc, theta, lam = (c[k].to_numpy() for k in ("acc", "theta", "lam"))
+        kappa, before = float(c["kappa"].iloc[0]), 0.0 if em_round == 1 else float(c["cost"].iloc[0])
+        dead = (np.bincount(mine.l, acc != 0, len(mine.parcels)) == 0)[mine.l]
+        with np.errstate(divide="ignore"):
+            base = kappa * acc + np.where(dead, 0.0, s.sessions * cdln(kappa, dim)[0]) + s.w * np.where(theta > 0, np.log(np.where(theta > 0, theta, 1.0)), -np.inf)
+        gamma = np.zeros(len(mine.parcels))
+        gamma[mine.l] = c["gamma"].to_numpy()
+        got = subject.expectation(mine, base, dead, lam, c["sxv"].to_numpy(), gamma, v, s, em_round)
+        cost = subject.cost_of(mine, acc, theta, kappa, dim, got, v, s)
+        stop = settled(cost, before)
+        return c[["sub", "v", "l", "theta"]].assign(
+            lam=got.lam, sxv=got.sxv, gamma=got.gamma[mine.l], cost=cost, cost_em=before if stop else cost, done=stop or em_round > s.max_em
+        )
+
+    return cells.groupBy("sub").cogroup(mesh.groupBy("sub")).applyInPandas(step, STATE)
 
 
-def em_rounds(state: dict, obs: DataFrame, sizes: DataFrame, parcel: DataFrame, vertices, edges, sphere, gradient, v: Variant, s: Settings, dim: int) -> dict:
-    """Inner EM: centroids, priors, assignment, cost; each subject stops on its own."""
-    length = dim + 1
-    cells, gamma, psi = state["cells"], state["gamma"], state["psi"]
-    kappa0 = starting_concentration(dim)
-    mu = parcel.select("l", "mu")
-    nu = psi.select("sub", "l").join(mu, "l").select("sub", "l", F.flatten(F.array_repeat("mu", s.sessions)).alias("nu"), F.lit(kappa0).alias("kappa"))
+def em_rounds(state: DataFrame, psi: DataFrame, obs: DataFrame, sizes: DataFrame, parcel: DataFrame, mesh: DataFrame, v: Variant, s: Settings, dim: int) -> tuple[DataFrame, DataFrame]:
+    """Inner EM of all subjects: (cells, centroids), each subject as it was when its cost settled.
+
+    A round writes two tables, centroids and cells; the next one deletes those
+    that no finished subject is in.
+    """
+    zero = F.array_repeat(F.lit(0.0), s.sessions * (dim + 1))
+    nu = psi.select("sub", "l").join(parcel.select("l", "mu"), "l").select("sub", "l", F.flatten(F.array_repeat("mu", s.sessions)).alias("nu"), F.lit(starting_concentration(dim)).alias("kappa"))
     pulls = psi.join(parcel, "l").select("sub", "l", scale(F.col("psi"), F.col("sigma")).alias("pull"))
-    kept = {"cells": None, "gamma": None, "nu": None, "cost": None}
-    before = None
+    cells, spent, out = state, [], []
     for i in range(1, s.max_em + 2):
-        xdot = em.weighted_sums(obs, cells, sizes)
         mass = cells.groupBy("sub").agg(F.sum("lam").alias("mass"))
-        zero = F.array_repeat(F.lit(0.0), s.sessions * length)
-        cent = nu.join(xdot, ["sub", "l"], "left").join(pulls, ["sub", "l"]).join(mass, "sub").withColumn("xdot", F.coalesce("xdot", zero))
-        nu = cut(em.m_step_by_subject(cent, s.sessions, dim, s.epsilon, s.max_m))
-        acc = em.cell_products(obs, cells, nu, sizes)
-        kap = nu.select("sub", "kappa").distinct().withColumn("cdln", cdln_column(F.col("kappa"), dim))
-        fresh = cells.select("sub", "v", "l", "theta", "lam", "sxv").join(acc.drop("alive"), ["sub", "v", "l"]).join(kap, "sub")
-        fresh = em.flag_dead(fresh)
-        base = F.col("kappa") * F.col("acc") + F.when(F.col("dead"), 0.0).otherwise(s.sessions * F.col("cdln")) + s.w * log_or_neg_inf(F.col("theta"))
-        fresh = cut(fresh.withColumn("base", base))
-        if v.gradient_prior:
-            fresh = cut(em.connect_prior(fresh, gradient))
-        else:
-            fresh = fresh.withColumn("scv", F.lit(0.0))
-            if v.sphere_prior:
-                fresh = cut(em.sphere_prior(fresh.drop("sxv"), sphere, gamma))
-        cells, gamma = assign(fresh, gamma, vertices, edges, sphere, v, s, i)
-        weight = s.beta * v.beta_scale if v.cost_uses_prior else 0.0
-        priced = cells.withColumn("t", F.lit(s.sessions)).withColumn("beta", F.lit(weight)).withColumn("scv", F.col("scv") if v.cost_uses_prior else F.lit(0.0))
-        cost = em_cost(priced, ["sub"], s.w, s.c)
-        if before is None:
-            cost = cost.withColumn("before", F.lit(0.0))
-        else:
-            cost = cost.join(before, "sub")
-        gap = F.abs((F.col("cost") - F.col("before")) / F.when(F.col("before") != 0, F.col("before")))
-        nan = F.isnan("cost") | F.isnan("before")
-        stop = nan | F.when(F.col("before") != 0, gap <= 1e-4).otherwise(F.col("cost") == 0)
-        cost = cut(cost.withColumn("stop", stop))
-        forced = i > s.max_em
-        done = cost if forced else cost.filter("stop")
-        final = done.select("sub", F.when(F.col("stop"), F.col("before")).otherwise(F.col("cost")).alias("cost_em"))
-        split = {k: em.frozen(d, done) for k, d in (("cells", cells), ("gamma", gamma), ("nu", nu))}
-        for k, (fin, _) in split.items():
-            kept[k] = fin if kept[k] is None else kept[k].unionByName(fin)
-        kept["cost"] = final if kept["cost"] is None else kept["cost"].unionByName(final)
-        cells, gamma, nu = (split[k][1] for k in ("cells", "gamma", "nu"))
-        if forced or cells.isEmpty():
+        cent = nu.join(em.weighted_sums(obs, cells, sizes), ["sub", "l"], "left").join(pulls, ["sub", "l"]).join(mass, "sub").withColumn("xdot", F.coalesce("xdot", zero))
+        turned = cut(em.m_step_by_subject(cent, s.sessions, dim, s.epsilon, s.max_m))
+        moved = cut(expectation_round(em.products_for(obs, cells, turned, sizes), mesh, v, s, dim, i))
+        for old in spent:
+            forget(old)
+        finished, rows = moved.agg(F.count_if("done"), F.count(F.lit(1))).first()
+        if finished:
+            fin = moved.filter("done")
+            out.append((fin, turned.join(fin.select("sub").distinct(), "sub", "left_semi")))
+        if finished == rows:
             break
-        before = cost.select("sub", F.col("cost").alias("before"))
-    return {k: cut(d) for k, d in kept.items()}
+        cells, spent = moved.filter("not done"), [] if finished else [moved, turned]
+        nu = turned.join(cells.select("sub").distinct(), "sub", "left_semi") if finished else turned
+    return tuple(reduce(DataFrame.unionByName, frames) for frames in zip(*out, strict=True))
 
 
 def parcellate(
@@ -204,51 +181,41 @@ def parcellate(
     subs = sizes.select("sub")
     present = obs.select("sub", "v")
     prior = theta.filter(F.col("theta") != 0)
-    cells = cut(present.join(prior, "v").select("sub", "v", F.col("l").cast("int").alias("l"), "theta", F.col("theta").alias("lam"), F.lit(0.0).alias("sxv")))
-    active = cells.groupBy("sub", "v").agg(F.sum("lam").alias("_t")).filter("_t != 0").drop("_t")
-    net = cut(
-        edges.select("sub", "src", "dst")
-        .join(active.withColumnRenamed("v", "src"), ["sub", "src"], "left_semi")
-        .join(active.withColumnRenamed("v", "dst"), ["sub", "dst"], "left_semi")
+    cells = cut(
+        present.join(prior, "v").select(
+            "sub", "v", F.col("l").cast("int").alias("l"), "theta", F.col("theta").alias("lam"), *[F.lit(0.0).alias(c) for c in ("sxv", "gamma", "cost", "cost_em")], F.lit(False).alias("done")
+        )
     )
+    active = cells.groupBy("sub", "v").agg(F.sum("lam").alias("_t")).filter("_t != 0").drop("_t")
+    net = edges.select("sub", "src", "dst").join(active.withColumnRenamed("v", "src"), ["sub", "src"], "left_semi").join(active.withColumnRenamed("v", "dst"), ["sub", "dst"], "left_semi")
+    mesh = mesh_rows(vertices, net, gradient if v.gradient_prior else None)
     parcel = cut(parcel.select(F.col("l").cast("int").alias("l"), "mu", "sigma", "eps"))
-    pairs = cells.select("sub", "l").distinct()
-    psi = cut(pairs.join(parcel, "l").select("sub", "l", F.col("mu").alias("psi")))
-    gamma = cut(pairs.withColumn("gamma", F.lit(0.0)))
-    ux, uy, uz = unit_sphere(F.col("x"), F.col("y"), F.col("z"))
-    sphere = vertices.select("sub", "v", ux.alias("ux"), uy.alias("uy"), uz.alias("uz"))
-    state = {"cells": cells, "gamma": gamma, "psi": psi}
-    out, before, running = {"cells": None, "cost": None}, None, subs
+    psi = cut(cells.select("sub", "l").distinct().join(parcel, "l").select("sub", "l", F.col("mu").alias("psi")))
+    final, history, before = [], [], None
     for i in range(1, s.max_intra + 1):
-        got = em_rounds(state, obs.join(running, "sub", "left_semi") if i > 1 else obs, sizes, parcel, vertices, net, sphere, gradient, v, s, dim)
-        psi_nu = em.subject_direction(got["nu"].select("sub", "l", "nu"), parcel, s.sessions, dim + 1)
-        j = psi_nu.join(parcel, "l")
+        mine = obs if i == 1 else obs.join(psi.select("sub").distinct(), "sub", "left_semi")
+        cells, nu = em_rounds(cells, psi, mine, sizes, parcel, mesh, v, s, dim)
+        psi_nu = em.subject_direction(nu.select("sub", "l", "nu"), parcel, s.sessions, dim + 1)
         each = (
             F.col("sigma") * dot(F.col("psi"), F.col("nu_total")) + s.sessions * cdln_column(F.col("sigma"), dim)
             + F.col("eps") * dot(F.col("mu"), F.col("psi")) + cdln_column(F.col("eps"), dim)
-        )
-        cost = j.groupBy("sub").agg(F.sum(each).alias("_c")).join(got["cost"], "sub").select("sub", (F.col("_c") + F.col("cost_em")).alias("cost"))
+        )
+        inner = cells.groupBy("sub").agg(F.max("cost_em").alias("cost_em"))
+        cost = psi_nu.join(parcel, "l").groupBy("sub").agg(F.sum(each).alias("_c")).join(inner, "sub").select("sub", (F.col("_c") + F.col("cost_em")).alias("cost"))
         cost = cost.withColumn("before", F.lit(0.0)) if before is None else cost.join(before, "sub")
         gap = F.abs((F.col("cost") - F.col("before")) / F.when(F.col("before") != 0, F.col("before")))
         stop = F.isnan("cost") | F.isnan("before") | F.when(F.col("before") != 0, gap <= 1e-4).otherwise(F.col("cost") == 0)
-        cost = cut(cost.withColumn("stop", stop).withColumn("round", F.lit(i)))
-        done = cost if i == s.max_intra else cost.filter("stop")
-        fin, rest = em.frozen(got["cells"], done)
-        out["cells"] = fin if out["cells"] is None else out["cells"].unionByName(fin)
-        hist = cost.select("sub", "round", "cost")
-        out["cost"] = hist if out["cost"] is None else out["cost"].unionByName(hist)
-        _, running = em.frozen(running, done)
-        running = cut(running)
-        if running.isEmpty():
+        cost = cut(cost.withColumn("stop", stop if i < s.max_intra else F.lit(True)).withColumn("round", F.lit(i)))
+        psi = cut(psi_nu.select("sub", "l", "psi").join(cost.filter(~F.col("stop")).select("sub"), "sub", "left_semi"))
+        history.append(cost.select("sub", "round", "cost"))
+        done, rest = em.frozen(cells, cost.filter("stop"))
+        final.append(done)
+        if psi.isEmpty():
             break
-        before = cost.select("sub", F.col("cost").alias("before"))
-        state = {
-            "cells": rest, "gamma": em.frozen(got["gamma"], done)[1],
-            "psi": cut(em.frozen(psi_nu.select("sub", "l", "psi"), done)[1]),
-        }
-    cells = cut(out["cells"])
+        cells, before = rest, cost.select("sub", F.col("cost").alias("before"))
+    cells = cut(reduce(DataFrame.unionByName, final))
     labels = argmax_labels(cells, ["sub", "v"], "l", "lam").select("sub", "v", "label")
     everyone = vertices.select("sub", "v").join(labels, ["sub", "v"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
     if v.clean_labels:
         everyone = remove_isolated(cut(everyone), edges, ["sub"], s.isolated_below)
-    return {"labels": everyone, "cells": cells, "cost": cut(out["cost"])}
+    return {"labels": everyone, "cells": cells, "cost": cut(reduce(DataFrame.unionByName, history))}
