@@ -178,7 +178,6 @@ def parcellate(
     vertices = vertices.select("sub", "v", "x", "y", "z")
     obs = em.observations(profile)
     sizes = cut(em.block_sizes(obs))
-    subs = sizes.select("sub")
     present = obs.select("sub", "v")
     prior = theta.filter(F.col("theta") != 0)
     cells = cut(
