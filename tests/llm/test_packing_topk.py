@@ -4,10 +4,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from surfparc.llm import packing
+from surfparc.llm import packing, topk
 from surfparc.llm.topk import top_k
 from tests.llm.helpers import ODD, documents, sentence
 
@@ -76,19 +77,57 @@ def test_crc_of_ids(spark, tmp_path):
     assert {r.ids_crc32 for r in rows if r.doc_id == 1} == {zlib.crc32(np.array([2], "<u4").tobytes())}
 
 
-def test_top_k_matches_brute_force(spark):
+def brute_top_k(rows, k=5):
+    """(query id, rank, id, score) of all rows; ``rows`` holds ids and vectors."""
+    real = [(i, np.floor(256 * np.array(e, np.float32).astype(float)).astype(int)) for i, e in rows if i is not None and e is not None and None not in e and np.isfinite(e).all()]
+    wide = max((len(v) for _, v in real), default=0)
+    real = [(i, np.pad(v, (0, wide - len(v)))) for i, v in real]
+    out = []
+    for own, (q, v) in enumerate(real):
+        if q % 50 == 0:
+            best = sorted((-int(v @ x), i) for n, (i, x) in enumerate(real) if n != own)[:k]
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
+def found_top_k(spark, rows):
+    data = spark.createDataFrame([(i, e, 0, 1, 2) for i, e in rows], "vec_id long, embedding array<float>, norm int, block int, home int")
+    return sorted((r.query_id, r.rank, r.vec_id, r.score) for r in top_k(data, data.filter("vec_id % 50 = 0")).collect())
+
+
+def test_top_k_matches_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(8)
     v = rng.normal(size=(400, 12)).astype(np.float32)
     v[50:120] = v[50]
-    rows = [(k, [float(x) for x in e], 0, 1) for k, e in enumerate(v)]
-    rows += [(1000, None, 0, 1), (1050, [None] + [0.0] * 11, 0, 1), (1100, [float("nan")] * 12, 0, 1), (1150, [float("inf")] * 12, 0, 1), (None, [9.0] * 12, 0, 1), (1200, [1.0] * 5, 0, 1), rows[3]]
-    data = spark.createDataFrame(rows, "vec_id long, embedding array<float>, norm int, block int")
-    got = {}
-    for r in top_k(data, data.filter("vec_id % 50 = 0")).collect():
-        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    ints = {k: np.pad(np.floor(256 * np.array(e, np.float32).astype(float)).astype(int), (0, 12 - len(e))) for k, e, *_ in rows if k is not None and e is not None and None not in e and np.isfinite(e).all()}
-    want = {q: [(n + 1, k, s) for n, (s, k) in enumerate([(-s, k) for s, k in sorted((-int(ints[q] @ ints[k]), k) for k in ints if k != q)][:5])] for q in ints if q % 50 == 0}
-    assert {q: sorted(x) for q, x in got.items()} == want
+    v[200:] += 6 * rng.normal(size=(8, 12))[rng.integers(8, size=200)].astype(np.float32)
+    rows = [(k, [float(x) for x in e]) for k, e in enumerate(v)]
+    rows += [(1000, None), (1050, [None] + [0.0] * 11), (1100, [float("nan")] * 12), (1150, [float("inf")] * 12), (None, [9.0] * 12), (1200, [1.0] * 5), rows[3]]
+    want = brute_top_k(rows)
+    assert found_top_k(spark, rows) == want
+    monkeypatch.setattr(topk, "BLOCK", 20)
+    monkeypatch.setattr(topk, "QUERIES", 3)
+    monkeypatch.setattr(topk, "STRIPE", 2)
+    assert found_top_k(spark, rows) == want
+
+
+def test_top_k_keeps_every_row_of_a_repeated_id(spark):
+    one, two = [0.5, 0.0], [0.9, 0.1]
+    rows = [(0, [1.0, 1.0]), (1, one), (1, two), (1, two), (2, [0.1, 0.1]), (50, one), (50, one), (50, two), (3, [-1.0, -2.0])]
+    assert found_top_k(spark, rows) == brute_top_k(rows)
+
+
+def test_top_k_of_one_vector_many_times(spark):
+    rows = [(50, [1.0, 2.0])] * 9 + [(7, [1.0, 2.0])] * 8 + [(1, [0.0, 0.0]), (100, [-1.0, 0.5])]
+    assert found_top_k(spark, rows) == brute_top_k(rows)
+
+
+def test_distant_cells_are_left_out():
+    q = topk.Vectors(pa.table({"id": [1], "n": [1], "norm": [100], "v": [[10, 0]], "far": [[0.0, 1000.0]]}), 2)
+    cells = {0: (9, 100, np.array([0.0, 990.0]), np.array([5.0, 1010.0])), 1: (9, 10**6, np.array([1000.0, 0.0]), np.array([1100.0, 5.0]))}
+    assert topk.reached_cells(q, np.array([40]), cells) == [[0, 1]]
+    cells[1] = (9, 10**6, np.array([2000.0, 0.0]), np.array([2100.0, 5.0]))
+    assert topk.reached_cells(q, np.array([90]), cells) == [[0]]
+    assert topk.reached_cells(q, np.array([topk.LOWEST]), cells) == [[0, 1]]
 
 
 def test_top_k_of_few_rows(spark):
