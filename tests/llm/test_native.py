@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from surfparc.llm.chat import END, PART, SAYS, TURN, format_chats, op10_chat_formatting, read_back
 from surfparc.llm.decontaminate import contamination, op4_decontamination
-from surfparc.llm.licenses import NOTICES, PHRASES, license_spans, op3_license_scan
+from surfparc.llm.licenses import NOTICES, PHRASES, TEXTS, license_spans, op3_license_scan
 from surfparc.llm.sharding import op6_sharding, shard_by_bytes
 from tests.llm.helpers import ODD, documents, letter_words, sentence
 
@@ -37,6 +37,41 @@ def test_notice_with_changes_is_followed_over_neighbouring_diagonals(spark):
     assert [(s.doc_id, s.label, s.start) for s in spans] == [(0, "bsd-notice", 2)]
 
 
+def brute_span(w, template, gram=5, shift=4):
+    """Largest share of the template's words in grams found in order on diagonals at most ``shift`` apart."""
+    t = template.split()
+    at = [(k, i) for k in range(len(t) - gram + 1) for i in range(len(w) - gram + 1) if w[i : i + gram] == t[k : k + gram]]
+    best = 0.0
+    for d in {i - k for k, i in at}:
+        last, seen = (-gram, -1), set()
+        for k, i in sorted(at):
+            if d <= i - k <= d + shift and k > last[0] and i > last[1]:
+                last = (k, i)
+                seen |= set(range(k, k + gram))
+        best = max(best, len(seen) / len(t))
+    return best
+
+
+def test_license_texts_match_brute_force_and_scattered_words_are_no_notice(spark):
+    rng = random.Random(12)
+    whole = TEXTS["mit-text"].split()
+    edited = [x for k, x in enumerate(whole) if k % 40 != 7]
+    shuffled = [x for piece in rng.sample([whole[k : k + 6] for k in range(0, len(whole), 6)], len(whole) // 6) for x in piece]
+    t = [sentence(rng, 8) + " " + " ".join(x) + " " + sentence(rng, 5) for x in (whole, edited, shuffled, whole[:80], whole[90:] + whole[:70])]
+    t += [" ".join(whole[10:16]) * 30, "of the use of the software " * 50, "", None, t[0], sentence(rng, 60_000) + " " + t[0]]
+    got = {}
+    for s in license_spans(documents(spark, t), [(TEXTS["mit-text"], "mit-text", False)], ["doc_id"]).collect():
+        assert 0 <= s.start < s.end and s.end - s.start <= len(whole) + 4
+        got[s.doc_id] = max(got.get(s.doc_id, 0), s.covered)
+    want = {k: brute_span([x.decode() for x in letter_words(x)], TEXTS["mit-text"]) for k, x in enumerate(t)}
+    assert {k: v for k, v in want.items() if v} == got
+    assert got[0] == got[9] == got[10] == 1 and got[1] > 0.6 and got[2] < 0.1 and 6 not in got
+
+
+def test_license_scan_of_an_empty_table(spark):
+    assert license_spans(documents(spark, []), [("a b", "x", True)], ["doc_id"]).count() == 0
+
+
 def brute_hits(texts, items, window=10):
     wins = {}
     for item, text in items:
