@@ -22,6 +22,8 @@ RATIO = 1.25
 LEAF = 32
 PIVOTS = 8
 REGION = 4_000_000
+# Names of 64 bits that may mean several sets: n sets give about n * n / 2**65 such names, three of 10**10 sets.
+CLASHES = 10_000
 # Splits into parts that a set may try; subset keys of a set, if one shingle each isn't more; shingles that make a subset specific.
 TRIES, SUBSETS, SPECIFIC = 4, 24, 5
 
@@ -62,10 +64,11 @@ class Sets:
         sums = np.concatenate([[U(0)], np.cumsum(values)])
         return sums[self.start[1:]] - sums[self.start[:-1]]
 
-    def ids(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two words that stand for a set."""
+    def ids(self, clashing: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Two words that stand for a set; the first is its name, or the second where ``clashing`` names are known to mean several sets."""
         a, b = self.total(mix(self.hash)), self.total(mix(self.hash ^ U(0x2545F4914F6CDD1D)))
-        return mix(a + mix(b)).view(np.int64), mix(b ^ a).view(np.int64)
+        name, check = mix(a + mix(b)).view(np.int64), mix(b ^ a).view(np.int64)
+        return name if clashing is None else np.where(np.isin(name, clashing), check, name), check
 
 
 def bands(most: int) -> list[tuple[int, int]]:
@@ -205,14 +208,14 @@ def describe(batches: Iterator[pa.RecordBatch], keys: int, width: int) -> Iterat
         yield pa.RecordBatch.from_arrays([*batch.columns[:keys], cat(size), cat(node), cat(check)], [*batch.schema.names[:keys], "n_shingles", "node", "check"])
 
 
-def emit_keys(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+def emit_keys(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int, clashing: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """(text) to (key, node); a task passes each set on once."""
     seen = np.zeros(0, np.int64)
     for batch in batches:
         raw, offsets = buffers(batch.column(0))
         for lo, hi in portions(offsets):
             s = Sets(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], width)
-            node, _ = s.ids()
+            node, _ = s.ids(clashing)
             _, first = np.unique(node, return_index=True)
             first = first[(s.size[first] > 0) & ~np.isin(node[first], seen)]
             seen = np.union1d(seen, node[first])
@@ -348,14 +351,14 @@ def join_regions(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Itera
         yield settle(pa.Table.from_batches(held))
 
 
-def shingle_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def shingle_sets(batches: Iterator[pa.RecordBatch], width: int, clashing: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """(region, node, text) to (region, node, size, set); rows whose text isn't the node's are dropped."""
     for batch in batches:
         raw, offsets = buffers(batch.column(2))
         want = batch.column(1).to_numpy()
         for lo, hi in portions(offsets):
             s = Sets(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], width)
-            node, _ = s.ids()
+            node, _ = s.ids(clashing)
             ok = np.flatnonzero(node == want[lo:hi])
             sets = [s.hash[s.start[i] : s.start[i + 1]].tobytes() for i in ok]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lo + ok)), pa.array(node[ok]), pa.array(s.size[ok].astype(np.int64)), pa.array(sets, pa.binary())], ["region", "node", "size", "set"])
@@ -474,7 +477,8 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     if there are fewer). Sets are linked if ``den * intersection >= num * union``;
     a component is what links connect, named by its smallest ``key``.
 
-    1. Rows with equal sets become one node.
+    1. Rows with equal sets become one node, named by 64 bits. Names that mean
+       several sets, by another 64 bits, are few (``CLASHES``) and give way to those.
     2. Equal projections onto parts of the shingle universe, or equal subsets of
        the lowest shingles, gather every linked pair in a cell (``cell_keys``); cells chain nodes into regions, and only
        nodes with company go on.
@@ -490,15 +494,23 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     kind = docs.schema[key].dataType.simpleString()
     slim = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     rows = cut(slim.mapInArrow(lambda it: describe(it, 1, width), f"k {kind}, n_shingles long, node long, check long"))
-    nodes = cut(rows.filter("n_shingles > 0").groupBy("node").agg(F.min("k").alias("first"), F.min("check").alias("c0"), F.max("check").alias("c1")))
-    if not nodes.filter("c0 <> c1").isEmpty():
-        raise ValueError("two shingle sets share a 64-bit name")
-    keys = slim.select("t").mapInArrow(lambda it: emit_keys(it, width, num, den), "key long, node long")
+    named_by = lambda r: cut(r.filter("n_shingles > 0").groupBy("node").agg(F.min("k").alias("first"), F.min("check").alias("c0"), F.max("check").alias("c1")))
+    nodes, clashing = named_by(rows), None
+    twice = nodes.filter("c0 <> c1").select("node")
+    if not twice.isEmpty():
+        clashing = np.array([r.node for r in twice.limit(CLASHES + 1).collect()], np.int64)
+        if len(clashing) > CLASHES:
+            raise ValueError(f"more than {CLASHES} names of 64 bits mean several shingle sets")
+        rows = cut(rows.withColumn("node", F.when(F.col("node").isin(clashing.tolist()), F.col("check")).otherwise(F.col("node"))))
+        nodes = named_by(rows)
+        if not nodes.filter("c0 <> c1").isEmpty():
+            raise ValueError("the second name of a shingle set is another's name")
+    keys = slim.select("t").mapInArrow(lambda it: emit_keys(it, width, num, den, clashing), "key long, node long")
     near = cut(keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(neighbours, "src long, dst long").distinct())
     regions = groups_of(near).select("node", F.col("group").alias("region"))
     wanted = small(cut(regions.join(nodes.select("node", "first"), "node")))
     texts = slim.join(wanted, F.col("k").eqNullSafe(F.col("first"))).select("region", "node", "t")
-    sets = cut(texts.mapInArrow(lambda it: shingle_sets(it, width), "region long, node long, size long, set binary")).dropDuplicates(["region", "node"])
+    sets = cut(texts.mapInArrow(lambda it: shingle_sets(it, width, clashing), "region long, node long, size long, set binary")).dropDuplicates(["region", "node"])
     ready, links = divide(sets, region, num, den)
     found = ready.repartition("region").sortWithinPartitions("region", "node").mapInArrow(lambda it: join_regions(it, num, den), "src long, dst long")
     for extra in links:

@@ -164,3 +164,44 @@ def test_nulls_repeats_and_empty_table(spark):
     rows = similar_groups(documents(spark, ["a b c d", "a b c d", None, ""], [None, 4, None, 4])).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in rows), key=str) == sorted([(None, 2, 4), (4, 2, 4), (None, 0, None), (4, 0, 4)], key=str)
     assert similar_groups(documents(spark, [])).count() == 0
+
+
+def test_sets_that_share_a_name_take_the_second():
+    s = jaccard.Sets(np.frombuffer(b"a b c da b e f", np.uint8), np.array([0, 7, 14]), 3)
+    name, check = s.ids()
+    again, same = s.ids(name[:1])
+    assert again.tolist() == [check[0], name[1]] and same.tolist() == check.tolist()
+
+
+def test_join_over_clashing_names(spark, monkeypatch):
+    def few(self, clashing=None):
+        import numpy as np
+
+        from surfparc.llm.textnum import mix
+
+        name, check = (self.total(self.hash) % np.uint64(2)).view(np.int64), mix(self.total(mix(self.hash))).view(np.int64)
+        return name if clashing is None else np.where(np.isin(name, clashing), check, name), check
+
+    def short(step):
+        def run(*args):  # in the worker
+            from surfparc.llm import jaccard as there
+
+            usual, there.Sets.ids = there.Sets.ids, few
+            try:
+                yield from getattr(there, step)(*args)
+            finally:
+                there.Sets.ids = usual
+
+        return run
+
+    rng = random.Random(21)
+    base = sentence(rng, 40).split()
+    docs = documents(spark, [" ".join(base), " ".join(base[:-1]), "alone " + sentence(rng, 30), sentence(rng, 20), "", " ".join(base), None])
+    rows = lambda: sorted((r.doc_id, r.n_shingles, r.component_id) for r in similar_groups(docs).collect())
+    want = rows()
+    for step in ("describe", "emit_keys", "shingle_sets"):
+        monkeypatch.setattr(jaccard, step, short(step))
+    assert rows() == want and [c for _, _, c in want] == [0, 0, 2, 3, 4, 0, 6]
+    monkeypatch.setattr(jaccard, "CLASHES", 1)
+    with pytest.raises(ValueError, match="more than 1 names"):
+        rows()
