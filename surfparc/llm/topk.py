@@ -202,11 +202,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, key: str = "vec_id
         at = pa.array(ask)
         return pa.table([left["id"].take(at), left["name"].take(at), left["n"].take(at), *[pa.array(c, pa.int64()) for c in found]], names=names)
 
-    spread = wanted.withColumn("cell", F.explode("cells"))
-    pairs = small(cut(spread.select("home", "ask", "cell").distinct())).select(F.col("home").alias("from"), "ask", "cell")
-    sought = spread.withColumn("block", F.explode(F.sequence(F.lit(0), blocks[F.col("cell")] - 1))).withColumnRenamed("home", "from")
+    # Queries on a line, cell after cell, cut into as few groups as their number needs.
+    total = sum(asking.values())
+    before = F.array(*[F.lit(sum(n for h, n in asking.items() if h < home)).cast("long") for home in range(len(table_of))])
+    in_cell = F.array(*[F.lit(asking.get(home, 0)).cast("long") for home in range(len(table_of))])
+    place = before[F.col("home")] + F.pmod(F.xxhash64("id", "v"), in_cell[F.col("home")])
+    group = F.floor(place * F.lit(-(-total // QUERIES)) / F.lit(max(total, 1))).cast("int")
+    spread = wanted.withColumn("ask", group).withColumn("cell", F.explode("cells"))
+    pairs = small(cut(spread.select("ask", "cell").distinct()))
+    sought = spread.withColumn("block", F.explode(F.sequence(F.lit(0), blocks[F.col("cell")] - 1)))
     offered = rows.withColumnRenamed("home", "cell").join(pairs, "cell")
-    by = ["from", "ask", "cell", "block"]
+    by = ["ask", "cell", "block"]
     near = sought.groupBy(*by).cogroup(offered.groupBy(*by)).applyInArrow(meet, "id long, name string, m long, vec_id long, score long, copies long")
     best = W.partitionBy("id", "name").orderBy(F.desc("score"), "vec_id")
     kept = near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
