@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from surfparc.operators import paths
 from surfparc.operators.blocks import block_apply
 from surfparc.operators.ranking import mode_smallest
 from surfparc.session import cut, forget
@@ -174,26 +175,59 @@ def radius_mask(vertices: DataFrame, edges: DataFrame, keys: Sequence[str], radi
         .select(*keys, F.col("own").alias("l"), F.col("src").alias("v"), F.lit(0.0).alias("d"))
         .distinct()
     )
-    near = reach(rim, edges, [*keys, "l"], radius)
-    return near.select(*keys, "v", "l").unionByName(inside).distinct()
+    near = _near_parcels(rim, edges, keys, radius)
+    return near.unionByName(inside).distinct()
+
+
+def _near_parcels(rim: DataFrame, edges: DataFrame, keys: list[str], radius: float) -> DataFrame:
+    """``keys, v, l`` within ``radius`` of the parcel's rim; a block holds whole parcels and one mesh's edges."""
+    shared, cells = [k for k in keys if k in edges.columns], paths.CELLS
+
+    def per_block(rows: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(rows):
+            mesh = paths.Mesh.of(e["src"].to_numpy(), e["dst"].to_numpy(), e["w"].to_numpy(), rows["v"].to_numpy())
+            parcels, owner = np.unique(rows["l"].to_numpy(), return_inverse=True)
+            starts, step = mesh.place(rows["v"].to_numpy()), max(1, cells // len(mesh.ids))
+            for at in range(0, len(parcels), step):
+                mine = (owner >= at) & (owner < at + step)
+                dist, _ = paths.search(mesh, owner[mine] - at, starts[mine], min(step, len(parcels) - at), limit=radius)
+                p, v = np.nonzero(np.isfinite(dist))
+                out.append(pd.DataFrame({**{k: rows[k].iloc[0] for k in keys}, "v": mesh.ids[v], "l": parcels[at + p]}))
+        cols = [*keys, "v", "l"]
+        return pd.concat(out)[cols] if out else pd.DataFrame(columns=cols)
+
+    kinds = dict(rim.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in [*keys, "v", "l"])
+    return block_apply(rim.select(*keys, "v", "l"), edges.select(*shared, "src", "dst", "w"), keys, "l", per_block, schema, rows_per_block=16384)
 
 
 def source_set_distance(sources: DataFrame, edges: DataFrame, targets: DataFrame, keys: Sequence[str], side: str, parcel: str) -> DataFrame:
     """Mean geodesic distance between every source of a side and a parcel's vertices.
 
-    Distances run per source on blocks of sources; only the per-target sums of a
-    block leave the task, so the source-by-vertex table never exists.
+    Distances run per source on blocks of sources and stop once a source has
+    settled every target of its mesh; only the per-target sums of a block leave the
+    task, so the source-by-vertex table never exists. A target that a source can't
+    reach adds nothing to the sum but counts.
     """
     keys = list(keys)
-    model = edges.select(*keys, "src", "dst", "w")
+    goals = targets.select(*keys, F.col("v").alias("src"), F.col("v").alias("dst"), F.lit(0.0).alias("w"), F.lit(True).alias("goal")).distinct()
+    model = edges.select(*keys, "src", "dst", F.col("w").cast("double"), F.lit(False).alias("goal")).unionByName(goals)
+    cells = paths.CELLS
 
     def per_block(rows: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         out = []
-        if len(rows) and len(e):
+        if len(rows) and e["goal"].any():
+            wanted, e = e.loc[e["goal"], "src"].to_numpy(), e[~e["goal"]]
+            mesh = paths.Mesh.of(e["src"].to_numpy(), e["dst"].to_numpy(), e["w"].to_numpy(), np.concatenate([rows["v"].to_numpy(), wanted]))
+            goal, step = mesh.place(wanted), max(1, cells // len(mesh.ids))
             for name, grp in rows.groupby(side):
-                ids, dist = block_shortest_paths(e["src"].to_numpy(), e["dst"].to_numpy(), e["w"].to_numpy(), grp["v"].to_numpy())
-                reached = np.where(np.isfinite(dist), dist, 0.0)
-                out.append(pd.DataFrame({**{k: rows[k].iloc[0] for k in keys}, side: name, "v": ids, "d": reached.sum(0), "n": len(grp)}))
+                starts, total = mesh.place(grp["v"].to_numpy()), 0.0
+                for at in range(0, len(starts), step):
+                    part = starts[at : at + step]
+                    dist = paths.search(mesh, np.arange(len(part)), part, len(part), goal)[0][:, goal]
+                    total = total + np.where(np.isfinite(dist), dist, 0.0).sum(0)
+                out.append(pd.DataFrame({**{k: rows[k].iloc[0] for k in keys}, side: name, "v": wanted, "d": total, "n": len(grp)}))
         cols = [*keys, side, "v", "d", "n"]
         return pd.concat(out)[cols] if out else pd.DataFrame(columns=cols)
 
@@ -206,24 +240,6 @@ def source_set_distance(sources: DataFrame, edges: DataFrame, targets: DataFrame
     )
 
 
-def block_shortest_paths(src: np.ndarray, dst: np.ndarray, w: np.ndarray, sources: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Relax one block of sources over one mesh's edges at once until nothing improves."""
-    ids = np.unique(np.concatenate([src, dst, sources]))
-    s, d = np.searchsorted(ids, src), np.searchsorted(ids, dst)
-    order = np.argsort(d, kind="stable")
-    s, d, w = s[order], d[order], w[order]
-    starts = np.flatnonzero(np.r_[True, d[1:] != d[:-1]]) if len(d) else np.array([], dtype=int)
-    into = d[starts]
-    dist = np.full((len(sources), len(ids)), np.inf)
-    dist[np.arange(len(sources)), np.searchsorted(ids, sources)] = 0.0
-    while len(starts):
-        best = np.minimum.reduceat(dist[:, s] + w, starts, axis=1)
-        if not (best < dist[:, into]).any():
-            break
-        dist[:, into] = np.minimum(dist[:, into], best)
-    return ids, dist
-
-
 def geodesic_distances(values: DataFrame, edges: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """All-pairs shortest paths on each mesh, one row per source.
 
@@ -238,8 +254,9 @@ def geodesic_distances(values: DataFrame, edges: DataFrame, keys: Sequence[str],
         cols = [*keys, "src", "dist"]
         if not len(rows):
             return pd.DataFrame(columns=cols)
-        got, dist = block_shortest_paths(e["src"].to_numpy(), e["dst"].to_numpy(), e["w"].to_numpy(), rows["v"].to_numpy())
-        if not np.isfinite(dist).all() or rows["_n"].iloc[0] != len(got):
+        mesh = paths.Mesh.of(e["src"].to_numpy(), e["dst"].to_numpy(), e["w"].to_numpy(), rows["v"].to_numpy())
+        dist, _ = paths.search(mesh, np.arange(len(rows)), mesh.place(rows["v"].to_numpy()), len(rows))
+        if not np.isfinite(dist).all() or rows["_n"].iloc[0] != len(mesh.ids):
             raise ValueError("the mesh is not connected")
         return pd.DataFrame({**{k: rows[k].to_numpy() for k in keys}, "src": rows["v"].to_numpy(), "dist": list(dist)})[cols]
 
