@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import traceback
 from datetime import datetime, timezone
@@ -13,7 +14,7 @@ from surfparc.operators import ledger, mesh, surface
 from surfparc.plans import gradient_embedding, group_prior, parcellation, profiles
 from surfparc.plans.config import Config, read_config
 from surfparc.session import cut
-from surfparc.sources import files, tables
+from surfparc.sources import files, tables, versions
 from surfparc.streaming.progress import COHORT, Progress, plan_entries
 
 
@@ -102,42 +103,41 @@ class Pipeline:
         return back.join(self.roster, "sub", "left_semi") if "sub" in tables.LAYOUT[artifact] else back
 
     def _embedding(self, inputs: dict) -> DataFrame:
+        """Each hemisphere is embedded once, as a mesh of its own; what is stored is the union over sides."""
         c = self.config.step0
         k = gradient_embedding.Knobs(
             c["sub_FC"], c["sub_verts"], c["block_a"], c["smooth_sigma"], c["K_hop"], c["watershed_steps"], c["watershed_frac"], self.config.top["n_grad_components"]
         )
-        v = inputs["vertices"].withColumn("roi", F.col("mars") == 2)
-        edges = cut(mesh.with_length(mesh.edges_from_faces(inputs["faces"], ["sub"]), v, ["sub"]))
-        weights = cut(surface.smoothing_weights(v, edges, inputs["faces"], ["sub"], k.sigma, "roi"))
-        cortex = inputs["bold"].join(v.filter("roi").select("sub", "v"), ["sub", "v"], "left_semi")
-        density = cut(gradient_embedding.edge_density(cortex, v, edges, inputs["faces"], weights, k))
+        parts = [self._embedding_of(hemi, side, k) for hemi, side in self._sides(inputs)]
+        density, dist, grad = (functools.reduce(DataFrame.unionByName, p) for p in zip(*parts, strict=True))
         if c["save_edge_density"]:
             tables.write(density, self.project, "edge_density")
-        if "hemi" in v.columns:
-            return self._keep(self._by_hemisphere(inputs, k), "gradient")
-        coarse = inputs["coarse_vertices"], inputs["coarse_faces"]
-        dist = gradient_embedding.distances(density, v, inputs["faces"], *coarse, k)
-        dist = self._keep(dist, "distance") if c["save_geodesic_distance"] else cut(dist)
-        return self._keep(gradient_embedding.embed(dist, v, *coarse, k), "gradient")
-
-    def _by_hemisphere(self, inputs: dict, k: gradient_embedding.Knobs) -> DataFrame:
-        """Each hemisphere is embedded as a mesh of its own; distances never cross."""
-        def side(name: str, hemi: str) -> DataFrame:
-            return inputs[name].filter(F.col("hemi") == hemi).drop("hemi")
-
-        out, own = None, inputs["vertices"].select("sub", "v", "hemi")
-        for hemi in [r[0] for r in own.select("hemi").distinct().orderBy("hemi").collect()]:
-            v = side("vertices", hemi).withColumn("roi", F.col("mars") == 2)
-            f = inputs["faces"].join(v.select("sub", F.col("v").alias("v0")), ["sub", "v0"], "left_semi")
-            edges = cut(mesh.with_length(mesh.edges_from_faces(f, ["sub"]), v, ["sub"]))
-            weights = cut(surface.smoothing_weights(v, edges, f, ["sub"], k.sigma, "roi"))
-            cortex = inputs["bold"].join(v.filter("roi").select("sub", "v"), ["sub", "v"], "left_semi")
-            density = cut(gradient_embedding.edge_density(cortex, v, edges, f, weights, k))
-            coarse = side("coarse_vertices", hemi), side("coarse_faces", hemi)
-            dist = cut(gradient_embedding.distances(density, v, f, *coarse, k))
-            grad = cut(gradient_embedding.embed(dist, v, *coarse, k))
-            out = grad if out is None else out.unionByName(grad)
-        return out
+        if c["save_geodesic_distance"]:
+            tables.write(dist, self.project, "distance")
+        return self._keep(grad, "gradient")
+
+    def _sides(self, inputs: dict) -> list[tuple[str, dict[str, DataFrame]]]:
+        """Inputs by hemisphere; one mesh that names none is the side ``both``."""
+        v = inputs["vertices"]
+        if "hemi" not in v.columns:
+            return [("both", inputs)]
+        found = []
+        for hemi in [r[0] for r in v.select("hemi").distinct().orderBy("hemi").collect()]:
+            mine = {n: inputs[n].filter(F.col("hemi") == hemi).drop("hemi") for n in ("vertices", "coarse_vertices", "coarse_faces")}
+            mine["faces"] = inputs["faces"].join(mine["vertices"].select("sub", F.col("v").alias("v0")), ["sub", "v0"], "left_semi")
+            found.append((hemi, inputs | mine))
+        return found
+
+    def _embedding_of(self, hemi: str, side: dict, k: gradient_embedding.Knobs) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Edge density, geodesic distances (with their ``hemi``) and gradient coordinates of one side."""
+        v, f = side["vertices"].withColumn("roi", F.col("mars") == 2), side["faces"]
+        coarse = side["coarse_vertices"], side["coarse_faces"]
+        edges = cut(mesh.with_length(mesh.edges_from_faces(f, ["sub"]), v, ["sub"]))
+        weights = cut(surface.smoothing_weights(v, edges, f, ["sub"], k.sigma, "roi"))
+        cortex = side["bold"].join(v.filter("roi").select("sub", "v"), ["sub", "v"], "left_semi")
+        density = cut(gradient_embedding.edge_density(cortex, v, edges, f, weights, k))
+        dist = cut(gradient_embedding.distances(density, v, f, *coarse, k))
+        return density, dist.withColumn("hemi", F.lit(hemi)), cut(gradient_embedding.embed(dist, v, *coarse, k))
 
     def _profiles(self, inputs: dict, seed_order: int, n_seeds: int) -> DataFrame:
         return self._keep(profiles.binary_profiles(inputs["bold"], inputs["vertices"], seed_order, n_seeds, self.config.step1["threshold"]), "profile")
@@ -191,6 +191,4 @@ class Pipeline:
         )
         if parcellation.VARIANTS[self.config.variant].gradient_prior:
             new = new.withColumn("gradient", F.concat(F.lit("gradient/sub="), "id"))
-        if files.exists(self.spark, f"{self.project}/ledger"):
-            new = cut(ledger.merge_subjects(new, tables.read(self.spark, self.project, "ledger"), ["profile", "gradient"]))
-        tables.write(new, self.project, "ledger")
+        versions.commit(self.spark, self.project, "ledger", lambda old: new if old is None else ledger.merge_subjects(new, old, ["profile", "gradient"]))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surfparc.operators.ledger import manifest_defects
+from surfparc.sources import versions
 
 MANIFEST = (
     "schema_version string, dataset_name string, targ_mesh string, seed_mesh string, "
@@ -14,8 +15,10 @@ MANIFEST = (
 # Partitioning of each artifact; a reader of one subject or session skips the rest.
 LAYOUT = {
     "profile": ["sub", "sess"], "gradient": ["sub"], "mean_profile": [], "group": [], "mask": ["hemi"], "prior_parcel": [], "prior_theta": [],
-    "labels": ["sub"], "ledger": [], "distance": ["sub"], "edge_density": ["sub"],
+    "labels": ["sub"], "distance": ["sub", "hemi"], "edge_density": ["sub"],
 }
+# Artifacts that several runs may change at once, see ``versions``.
+VERSIONED = ("ledger",)
 
 
 def write(df: DataFrame, project: str, artifact: str, overwrite: bool = True) -> str:
@@ -28,9 +31,9 @@ def write(df: DataFrame, project: str, artifact: str, overwrite: bool = True) ->
 
 def read(spark: SparkSession, project: str, artifact: str, **where) -> DataFrame:
     """Read one artifact; equality filters on partition columns prune files."""
-    df = spark.read.parquet(f"{project}/{artifact}")
+    df = spark.read.parquet(versions.current(spark, project, artifact) if artifact in VERSIONED else f"{project}/{artifact}")
     # Numeric partition ids come back as int; ids are bigint everywhere else.
-    df = df.withColumns({k: F.col(k).cast("long") for k, t in df.dtypes if k in LAYOUT[artifact] and t == "int"})
+    df = df.withColumns({k: F.col(k).cast("long") for k, t in df.dtypes if k in LAYOUT.get(artifact, []) and t == "int"})
     for k, v in where.items():
         df = df.filter(F.col(k) == v)
     return df

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from test_sources import config
 
-from surfparc.operators import mesh, ranking
+from surfparc.operators import graph, mesh, ranking
 from surfparc.plans.config import parse_config
 from surfparc.plans.pipeline import Pipeline
 from surfparc.session import cut
@@ -83,3 +83,56 @@ def test_two_hemispheres_never_mix(spark, tmp_path):
     assert {r.hemi for r in mask} == {"lh", "rh"} and all((r.v < n) == (r.l <= 2) == (r.hemi == "lh") for r in mask)
     words = tables.read(spark, str(tmp_path), "profile").select(F.max(F.size("words")).alias("n")).first().n
     assert words == -(-seeds // 64)
+
+
+def test_hemispheres_are_embedded_once_each_and_their_distances_kept(spark, tmp_path, monkeypatch):
+    v, f = mesh.icosphere(spark, 92)
+    small, links = mesh.icosphere(spark, 42)
+    n, m = v.count(), small.count()
+    as_sub = lambda d: d.withColumn("sub", F.lit(1).cast("long"))
+
+    def shifted(points, faces, by, hemi):
+        return (
+            as_sub(points.withColumn("v", F.col("v") + by).withColumn("hemi", F.lit(hemi))),
+            as_sub(faces.withColumn("f", F.col("f") + 1000 * (by > 0)).withColumn("hemi", F.lit(hemi)).withColumns({c: F.col(c) + by for c in ("v0", "v1", "v2")})),
+        )
+
+    fine = [shifted(v, f, 0, "lh"), shifted(v, f, n, "rh")]
+    coarse = [shifted(small, links, 0, "lh"), shifted(small, links, m, "rh")]
+    rng = np.random.default_rng(8)
+    bold = spark.createDataFrame([(1, 1, 1, i, [float(a) for a in rng.normal(size=20)]) for i in range(2 * n)], "sub long, sess int, run int, v long, ts array<double>")
+    inputs = {
+        "bold": bold, "vertices": cut(fine[0][0].unionByName(fine[1][0]).withColumn("mars", F.lit(2))), "faces": cut(fine[0][1].unionByName(fine[1][1]).drop("hemi")),
+        "coarse_vertices": cut(coarse[0][0].unionByName(coarse[1][0])), "coarse_faces": cut(coarse[0][1].unionByName(coarse[1][1])),
+    }
+    seen = []
+
+    # The three searches have tests of their own; asked here is that each runs once per side, on that side alone.
+    def density(b, vertices, *_):
+        mine = vertices.select("sub", "v", (F.abs("z") / 100).alias("density"))
+        seen.append((mine.agg(F.min("v"), F.max("v")).first(), b.count()))
+        return mine
+
+    def distances(dens, vertices, faces, coarse_vertices, coarse_faces, k):
+        assert dens.count() == vertices.count() == n and faces.join(vertices.select(F.col("v").alias("v2")), "v2").count() == faces.count() > 0
+        links = mesh.edges_from_faces(coarse_faces, ["sub"])
+        return graph.geodesic_distances(coarse_vertices.select("sub", "v", F.lit(1.0).alias("g")), links, ["sub"], "g")
+
+    def embed(dist, vertices, *_):
+        assert dist.count() == m
+        return vertices.select("sub", "v", F.array(F.lit(0.0), F.lit(1.0), F.lit(2.0)).alias("grad"))
+
+    for name, made in (("edge_density", density), ("distances", distances), ("embed", embed)):
+        monkeypatch.setattr(f"surfparc.plans.gradient_embedding.{name}", made)
+    monkeypatch.setattr("surfparc.operators.surface.smoothing_weights", lambda v, *_: v.select("sub", "v"))
+    settings = config()
+    settings["step0"].update(save_geodesic_distance=True, save_edge_density=True)
+    settings["n_grad_components"] = 3
+    run = Pipeline(spark, str(tmp_path), parse_config(settings))
+    run.roster = bold.select("sub").distinct()
+    grad = run._embedding(inputs)
+    assert [(a, b, c) for (a, b), c in seen] == [(0, n - 1, n), (n, 2 * n - 1, n)]
+    assert sorted(r.v for r in grad.select("v").collect()) == list(range(2 * n))
+    dist = tables.read(spark, str(tmp_path), "distance")
+    assert {(r.hemi, r.n, r.low, r.wide) for r in dist.groupBy("hemi").agg(F.count("src").alias("n"), F.min("src").alias("low"), F.max(F.size("dist")).alias("wide")).collect()} == {("lh", m, 0, m), ("rh", m, m, m)}
+    assert tables.read(spark, str(tmp_path), "edge_density").count() == 2 * n
