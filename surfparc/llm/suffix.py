@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surfparc.llm.common import masked, table, unmasked
+from surfparc.llm.common import masked, small, table, unmasked
 from surfparc.llm.deepshallow import deep_shallow
 from surfparc.llm.textnum import BASE_INVERSE, BYTE, U, buffers, mix, owner, portions, powers
 from surfparc.session import cut
@@ -237,12 +237,13 @@ def split_hot(level: DataFrame, span: int, group: int) -> tuple[list[DataFrame],
     names = [c.split()[0] for c in CONTEXT.split(", ")]
     while True:
         level = cut(level)
-        size = level.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        # Broadcast while few, so that the rows of a hot key stay where they are.
+        size = small(cut(level.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")))
         counted = cut(level.join(size, "key"))
         ready.append(counted.filter(F.col("n") <= group).select(*names))
         big = counted.filter(F.col("n") > group).select(*names, F.when(whole(F.col("lo"), F.col("hi")), F.md5(around)).alias("full"), place.alias("place"))
         alike = big.filter(F.col("full").isNotNull()).groupBy("key", "full").agg(F.count(F.lit(1)).alias("same"), F.min("place").alias("first"))
-        joined = cut(big.join(alike.filter("same > 1"), ["key", "full"], "left"))
+        joined = cut(big.join(small(cut(alike.filter("same > 1"))), ["key", "full"], "left"))
         settled.append(joined.filter("same > 1").select("t0", "t1", (F.col("pos") - F.col("hi")).alias("start"), (F.col("pos") - F.col("lo") + span).alias("end")))
         going = joined.filter((F.col("same").isNull() | (F.col("place") == F.col("first"))) & (F.col("lo") < F.col("hi")))
         if going.isEmpty():
@@ -279,8 +280,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", span: int = SPAN, gram:
     return marked.select("t0", "t1", "text"), spans
 
 
-def strip(batches: Iterator[pa.RecordBatch], whole_characters: bool) -> Iterator[pa.RecordBatch]:
-    """(t0, t1, text, spans) to the maximal removed runs and the text that is kept."""
+def strip(batches: Iterator[pa.RecordBatch], whole_characters: bool, words: int, sure: int) -> Iterator[pa.RecordBatch]:
+    """(t0, t1, text, spans) to the maximal removed runs and the text that is kept; null both where no run is left."""
     for batch in batches:
         out = {"spans": [], "kept": []}
         for data, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
@@ -297,6 +298,11 @@ def strip(batches: Iterator[pa.RecordBatch], whole_characters: bool) -> Iterator
                         r[0] += 1
                     while inside(r[1]):
                         r[1] -= 1
+            runs = [r for r in runs if r[1] - r[0] >= sure or len(data[r[0] : r[1]].split()) > words]
+            if not runs:
+                out["spans"].append(None)
+                out["kept"].append(None)
+                continue
             kept, at = [], 0
             for a, b in runs:
                 kept.append(data[at:a])
@@ -307,13 +313,14 @@ def strip(batches: Iterator[pa.RecordBatch], whole_characters: bool) -> Iterator
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out["spans"], kind), pa.array(out["kept"], pa.binary())], ["t0", "t1", "spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, key: list[str], text: str = "text", span: int = SPAN, gram: int = GRAM, group: int = GROUP, whole_characters: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: list[str], text: str = "text", span: int = SPAN, gram: int = GRAM, group: int = GROUP, whole_characters: bool = False, words: int = 0, sure: int = 0) -> DataFrame:
     """What stays of each text when every byte in a ``span``-byte string that also starts elsewhere goes.
 
     Returns ``key``, t0, t1 (the text's id), n_bytes, copies, ``spans`` (maximal
     removed runs, bytes from 0; null if none) and ``kept`` (the remaining bytes;
     null where nothing is removed, so that untouched texts need not move).
-    ``whole_characters`` shrinks runs to whole UTF-8 characters.
+    ``whole_characters`` shrinks runs to whole UTF-8 characters. Runs shorter than
+    ``sure`` bytes go only if they hold more than ``words`` words (between blanks).
 
     Places that are chosen by content, one at least in every ``span`` bytes,
     form a sparse suffix array: equal places are gathered by a hash of the next
@@ -327,17 +334,19 @@ def remove_repeats(docs: DataFrame, key: list[str], text: str = "text", span: in
     """
     data = F.coalesce(F.col("__text"), F.lit("")).cast("binary")
     named, names = masked(docs.withColumn("__text", F.col(text)), key, "__text")
-    rows = named.select(*names, *text_id(data), F.length(data).cast("long").alias("n_bytes"))
+    n_bytes = F.length(data).cast("long")
+    long_enough = (n_bytes >= sure) | (F.size(F.array_remove(F.split(F.col("__text"), r"[\x20\x09-\x0D]+"), "")) > words)
+    rows = named.select(*names, *text_id(data), n_bytes.alias("n_bytes"), ((n_bytes >= span) & long_enough).alias("__whole"))
     texts, spans = repeated_spans(docs, text, span, gram, group)
     listed = spans.groupBy("t0", "t1").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     stripped = texts.join(listed, ["t0", "t1"]).select("t0", "t1", "text", "spans")
-    stripped = stripped.mapInArrow(lambda it: strip(it, whole_characters), "t0 long, t1 long, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    stripped = stripped.mapInArrow(lambda it: strip(it, whole_characters, words, sure), "t0 long, t1 long, spans array<struct<start:bigint,end:bigint>>, kept binary")
     copies = rows.groupBy("t0", "t1").agg(F.count(F.lit(1)).alias("copies"))
     joined = rows.join(copies, ["t0", "t1"]).join(stripped, ["t0", "t1"], "left")
-    all_gone = (F.col("copies") > 1) & (F.col("n_bytes") >= span)
+    all_gone = (F.col("copies") > 1) & F.col("__whole")
     everything = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
     joined = unmasked(joined, key)
-    return joined.withColumn("spans", F.when(all_gone, everything).otherwise(F.col("spans"))).withColumn("kept", F.when(all_gone, F.lit(b"")).otherwise(F.col("kept")))
+    return joined.withColumn("spans", F.when(all_gone, everything).otherwise(F.col("spans"))).withColumn("kept", F.when(all_gone, F.lit(b"")).otherwise(F.col("kept"))).drop("__whole")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
