@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from surfparc.functions import bits, special, vectors
 from surfparc.operators import ranking
+from surfparc.plans.queries import QUERIES
 
 
 def test_cdln_agrees_between_branches_and_elementary_form():
@@ -26,6 +27,28 @@ def test_inverse_ratio_round_trip_and_overflow_fallback():
     assert special.inv_ad(d, r)[0] == pytest.approx(start - d / (d - 1) * r / 2)
 
 
+def test_ratio_of_large_arguments_takes_bounded_work():
+    for dim in (3.0, 64.0, 1482.0):
+        k = np.array([np.inf, 1e17, 1e15, 1e12])
+        assert np.allclose(special.bessel_ratio(dim, k), 1 - (dim - 1) / (2 * k), rtol=0, atol=1e-15)
+        edge = max(100.0, dim * dim)
+        below, above = special.bessel_ratio(dim, edge)[0], special._far_ratio(dim, np.array([edge]))[0]
+        assert below == pytest.approx(above, abs=1e-14)
+    x = np.array([0.5, 20.0, 3000.0])
+    # The order 1/2 is elementary: coth(k) - 1/k.
+    assert np.allclose(special.bessel_ratio(3, x), 1 / np.tanh(x) - 1 / x, rtol=1e-13)
+
+
+def test_round_trip_of_parcels_of_one_vertex(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(v, v % 250 + 1, x[v].tolist()) for v in range(500)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = QUERIES["inv_ad_round_trip"](spark, str(tmp_path)).collect()
+    assert len(got) == 500 and all(r.rbar == r.back == 1.0 for r in got)
+
+
 def test_initial_concentration_hits_target():
     k = special.initial_concentration(63)
     assert special.log_bessel_i(63 / 2 - 1, k)[0] == pytest.approx(math.log(1e10), abs=1e-9)
