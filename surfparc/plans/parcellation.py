@@ -2,10 +2,12 @@
 
 Subjects are independent here. They run side by side in the same tables and each
 leaves a loop when it converges, so a slow subject never holds the others' rows
-in play. Passes over the observations run on bounded blocks. What a mesh bounds,
-a subject's candidate cells, comes together once per EM round: the assignment
-loop and the piece check around it run on its arrays in one task, so Spark jobs
-are as many as EM rounds, not as assignment rounds.
+in play. A subject whose observations are one block goes through all loops in one
+task (``whole_subjects``): the number of Spark jobs is fixed. Passes over larger
+observations run on bounded blocks; what a mesh bounds, a subject's candidate
+cells, comes together once per EM round: the assignment loop and the piece check
+around it run on its arrays in one task, so Spark jobs are as many as EM rounds,
+not as assignment rounds.
 """
 
 from __future__ import annotations
@@ -113,6 +115,15 @@ def settled(cost: float, before: float) -> bool:
     return abs((cost - before) / before) <= 1e-4 if before != 0 else cost == 0
 
 
+def assign(mine: subject.Cells, acc: np.ndarray, theta: np.ndarray, lam: np.ndarray, sxv: np.ndarray, gamma: np.ndarray, kappa: float, v: Variant, s: Settings, dim: int, em_round: int) -> tuple[subject.Posterior, float]:
+    """One subject's posterior, priors and cost of an EM round; ``gamma`` by parcel, the rest by cell."""
+    dead = (np.bincount(mine.l, acc != 0, len(mine.parcels)) == 0)[mine.l]
+    with np.errstate(divide="ignore"):
+        base = kappa * acc + np.where(dead, 0.0, s.sessions * cdln(kappa, dim)[0]) + s.w * np.where(theta > 0, np.log(np.where(theta > 0, theta, 1.0)), -np.inf)
+    got = subject.expectation(mine, base, dead, lam, sxv, gamma, v, s, em_round)
+    return got, subject.cost_of(mine, acc, theta, kappa, dim, got, v, s)
+
+
 def expectation_round(cells: DataFrame, mesh: DataFrame, v: Variant, s: Settings, dim: int, em_round: int) -> DataFrame:
     """Posterior, priors and cost of every subject; the whole assignment loop runs on one subject's arrays in a task."""
 
@@ -121,15 +132,11 @@ def expectation_round(cells: DataFrame, mesh: DataFrame, v: Variant, s: Settings
             return pd.DataFrame(columns=[x.split()[0] for x in STATE.split(", ")])
         c = c.sort_values(["v", "l"], ignore_index=True)
         mine = subject.Cells(subject.Mesh.from_row(m.iloc[0]), c["v"].to_numpy(), c["l"].to_numpy())
-        acc, theta, lam = (c[k].to_numpy() for k in ("acc", "theta", "lam"))
+        acc, theta, lam, sxv = (c[k].to_numpy() for k in ("acc", "theta", "lam", "sxv"))
         kappa, before = float(c["kappa"].iloc[0]), 0.0 if em_round == 1 else float(c["cost"].iloc[0])
-        dead = (np.bincount(mine.l, acc != 0, len(mine.parcels)) == 0)[mine.l]
-        with np.errstate(divide="ignore"):
-            base = kappa * acc + np.where(dead, 0.0, s.sessions * cdln(kappa, dim)[0]) + s.w * np.where(theta > 0, np.log(np.where(theta > 0, theta, 1.0)), -np.inf)
         gamma = np.zeros(len(mine.parcels))
         gamma[mine.l] = c["gamma"].to_numpy()
-        got = subject.expectation(mine, base, dead, lam, c["sxv"].to_numpy(), gamma, v, s, em_round)
-        cost = subject.cost_of(mine, acc, theta, kappa, dim, got, v, s)
+        got, cost = assign(mine, acc, theta, lam, sxv, gamma, kappa, v, s, dim, em_round)
         stop = settled(cost, before)
         return c[["sub", "v", "l", "theta"]].assign(
             lam=got.lam, sxv=got.sxv, gamma=got.gamma[mine.l], cost=cost, cost_em=before if stop else cost, done=stop or em_round > s.max_em
@@ -138,6 +145,52 @@ def expectation_round(cells: DataFrame, mesh: DataFrame, v: Variant, s: Settings
     return cells.groupBy("sub").cogroup(mesh.groupBy("sub")).applyInPandas(step, STATE)
 
 
+def whole_subjects(obs: DataFrame, cells: DataFrame, mesh: DataFrame, parcel: DataFrame, v: Variant, s: Settings, dim: int) -> tuple[DataFrame, DataFrame]:
+    """Both EM loops of subjects whose observations are one block, a subject in a task: (cells, ``sub, round, cost``)."""
+    columns = [c.split()[0] for c in STATE.split(", ")] + ["round"]
+
+    def solve(x: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(m):
+            return pd.DataFrame(columns=columns)
+        x, row = x.sort_values("v", ignore_index=True), m.iloc[0]
+        mat, vertex, theta = em.dense(x), np.asarray(row["cell_v"], np.int64), np.asarray(row["cell_theta"], float)
+        mine = subject.Cells(subject.Mesh.from_row(row), vertex, np.asarray(row["cell_l"], np.int64))
+        place = {int(k): i for i, k in enumerate(row["l"])}
+        pick = [place[k] for k in mine.parcels.tolist()]
+        mu, sigma, eps = np.stack(row["mu"])[pick], np.asarray(row["sigma"], float)[pick], np.asarray(row["eps"], float)[pick]
+        where, weight = np.searchsorted(x["v"].to_numpy(), vertex), np.zeros((len(pick), len(x)))
+        lam, sxv, gamma, psi, costs, before = theta, np.zeros(len(theta)), np.zeros(len(pick)), mu, [], 0.0
+        for i in range(1, s.max_intra + 1):
+            nu, kappa, last = np.tile(mu, (1, s.sessions)), starting_concentration(dim), 0.0
+            for em_round in range(1, s.max_em + 2):
+                weight[mine.l, where] = lam
+                nu, kappa = em.m_step(nu, weight @ mat, sigma[:, None] * psi, kappa, lam.sum() * s.sessions, s.sessions, dim, s.epsilon, s.max_m)
+                got, cost = assign(mine, (mat @ nu.T)[where, mine.l], theta, lam, sxv, gamma, kappa, v, s, dim, em_round)
+                lam, sxv, gamma = got.lam, got.sxv, got.gamma
+                if settled(cost, last):
+                    break
+                last = cost
+            total = nu.reshape(len(pick), s.sessions, -1).sum(1)
+            raw = sigma[:, None] * total + eps[:, None] * mu
+            size = np.linalg.norm(raw, axis=1, keepdims=True)
+            psi = raw / np.where(size > 0, size, 1.0)
+            each = sigma * (psi * total).sum(1) + s.sessions * cdln(sigma, dim) + eps * (mu * psi).sum(1) + cdln(eps, dim)
+            costs.append(float(each.sum() + last))
+            if settled(costs[-1], before):
+                break
+            before = costs[-1]
+        sub = row["sub"]
+        final = pd.DataFrame({"sub": sub, "v": vertex, "l": mine.parcels[mine.l], "theta": theta, "lam": lam, "sxv": sxv, "gamma": gamma[mine.l], "cost": cost, "cost_em": last, "done": True})
+        story = pd.DataFrame({"sub": sub, "cost": costs, "round": np.arange(1, len(costs) + 1)})
+        return pd.concat([final, story], ignore_index=True).reindex(columns=columns).astype({"v": "Int64", "l": "Int64", "round": "Int64", "done": "boolean"})
+
+    listed = cells.groupBy("sub").agg(F.array_sort(F.collect_list(F.struct("v", "l", "theta"))).alias("_c")).select("sub", *[F.col(f"_c.{c}").alias(f"cell_{c}") for c in ("v", "l", "theta")])
+    model = parcel.agg(F.collect_list(F.struct("l", "mu", "sigma", "eps")).alias("_p")).select(*[F.col(f"_p.{c}").alias(c) for c in ("l", "mu", "sigma", "eps")])
+    each = renewed(mesh.join(listed, "sub").crossJoin(model).withColumn("block", F.lit(0)))
+    found = cut(obs.groupBy("sub", "block").cogroup(each.groupBy("sub", "block")).applyInPandas(solve, STATE + ", round int"))
+    return found.filter("round is null").drop("round"), found.filter("round is not null").select("sub", "round", "cost")
+
+
 def em_rounds(state: DataFrame, psi: DataFrame, obs: DataFrame, sizes: DataFrame, parcel: DataFrame, mesh: DataFrame, v: Variant, s: Settings, dim: int) -> tuple[DataFrame, DataFrame]:
     """Inner EM of all subjects: (cells, centroids), each subject as it was when its cost settled.
 
@@ -189,10 +242,15 @@ def parcellate(
     net = edges.select("sub", "src", "dst").join(active.withColumnRenamed("v", "src"), ["sub", "src"], "left_semi").join(active.withColumnRenamed("v", "dst"), ["sub", "dst"], "left_semi")
     mesh = mesh_rows(vertices, net, gradient if v.gradient_prior else None)
     parcel = cut(parcel.select(F.col("l").cast("int").alias("l"), "mu", "sigma", "eps"))
+    one, several = obs.filter("n_blocks = 1"), obs.filter("n_blocks > 1")
+    done, costs = whole_subjects(one, cells.join(sizes.filter("n_blocks = 1"), "sub", "left_semi"), mesh, parcel, v, s, dim)
+    final, history, before = [done], [costs], None
+    cells = cells.join(sizes.filter("n_blocks > 1"), "sub", "left_semi")
     psi = cut(cells.select("sub", "l").distinct().join(parcel, "l").select("sub", "l", F.col("mu").alias("psi")))
-    final, history, before = [], [], None
     for i in range(1, s.max_intra + 1):
-        mine = obs if i == 1 else obs.join(psi.select("sub").distinct(), "sub", "left_semi")
+        if psi.isEmpty():
+            break
+        mine = several if i == 1 else several.join(psi.select("sub").distinct(), "sub", "left_semi")
         cells, nu = em_rounds(cells, psi, mine, sizes, parcel, mesh, v, s, dim)
         psi_nu = em.subject_direction(nu.select("sub", "l", "nu"), parcel, s.sessions, dim + 1)
         each = (
@@ -209,8 +267,6 @@ def parcellate(
         history.append(cost.select("sub", "round", "cost"))
         done, rest = em.frozen(cells, cost.filter("stop"))
         final.append(done)
-        if psi.isEmpty():
-            break
         cells, before = rest, cost.select("sub", F.col("cost").alias("before"))
     cells = cut(reduce(DataFrame.unionByName, final))
     labels = argmax_labels(cells, ["sub", "v"], "l", "lam").select("sub", "v", "label")

@@ -222,3 +222,34 @@ def test_large_gaps_by_blocks():
     want = max(d[np.ix_(piece == k, piece != k)].min() for k in range(4))
     assert subject.largest_gap(points, piece, block=7) == pytest.approx(want)
     assert subject.largest_gap(points, np.zeros(60, int)) == 0.0
+
+
+def small_world(spark, short=None):
+    """Three subjects, the last of them with only ``short`` vertices in its profile, as ``parcellate`` takes them."""
+    mu, x, theta, xyz, near, grad = world()
+    of = lambda q: N if short is None or q < S else short
+    prof = spark.createDataFrame([(q, t, v, x[q % S, t, v].tolist()) for q in range(S + 1) for t in range(T) for v in range(of(q))], "sub long, t int, v long, x array<double>")
+    vert = spark.createDataFrame([(q, v, *xyz[v].tolist()) for q in range(S + 1) for v in range(N)], "sub long, v long, x double, y double, z double")
+    edges = spark.createDataFrame([(q, v, k) for q in range(S + 1) for v in range(N) for k in near[v]], "sub long, src long, dst long")
+    th = spark.createDataFrame([(v, k, float(theta[v, k])) for v in range(N) for k in range(L + 1) if theta[v, k] > 0], "v long, l int, theta double")
+    par = spark.createDataFrame([(k, mu[k].tolist(), 60.0, 60.0) for k in range(1, L + 1)], "l int, mu array<double>, sigma double, eps double")
+    s = parcellation.Settings(sessions=T, n_labels=L, n_vertices=N, w=1.0, c=0.3, beta=0.002)
+    return prof, th, par, vert, edges, "distributed", s, DIM
+
+
+def test_subjects_of_one_block_take_no_spark_rounds(spark, monkeypatch):
+    monkeypatch.delattr(parcellation, "em_rounds")
+    assert parcellation.parcellate(*small_world(spark))["labels"].count() == (S + 1) * N
+
+
+def test_subjects_of_several_blocks_agree_with_whole_ones(spark, monkeypatch):
+    given = small_world(spark, short=20)
+    once = parcellation.parcellate(*given)
+    whole = parcellation.em.observations
+    monkeypatch.setattr(parcellation.em, "observations", lambda profile: whole(profile, rows_per_block=30))
+    blocks = parcellation.parcellate(*given)
+    assert {tuple(r) for r in once["labels"].collect()} == {tuple(r) for r in blocks["labels"].collect()}
+    lam = lambda got: {(r["sub"], r.v, r.l): r.lam for r in got["cells"].collect()}
+    assert lam(blocks) == pytest.approx(lam(once), abs=1e-7)
+    cost = lambda got: {(r["sub"], r["round"]): r.cost for r in got["cost"].collect()}
+    assert cost(blocks) == pytest.approx(cost(once), rel=1e-9)
