@@ -1,4 +1,4 @@
-"""Diffusion embedding of a distance table by distributed subspace iteration."""
+"""Diffusion embedding of a distance table: meshes of one block in a task each, larger ones by distributed subspace iteration."""
 
 from __future__ import annotations
 
@@ -15,6 +15,10 @@ from surfparc.operators.blocks import block_apply
 from surfparc.session import cut, forget
 
 
+# Meshes of at most so many vertices are one block of the distributed product, so their matrix meets in one task.
+WHOLE = 1024
+
+
 def affinity(dist: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``exp(-d / max d)`` on rows of ``(keys, src, dist array)``."""
     top = dist.groupBy(*keys).agg(F.max(F.array_max("dist")).alias("_top"))
@@ -46,16 +50,56 @@ def _small(y: DataFrame, keys: Sequence[str]) -> DataFrame:
     return sum_vectors(parts, keys, "g", out="g").join(sum_vectors(parts, keys, "h", out="h"), list(keys))
 
 
+def whole_map(dist: DataFrame, keys: Sequence[str], n_components: int, alpha: float) -> DataFrame:
+    """The coordinates of ``diffusion_map`` for meshes of one block: the distances are shuffled once, no round follows."""
+    keys = list(keys)
+    kinds = dict(dist.dtypes)
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("src", ignore_index=True)
+        d = np.stack(rows["dist"].to_list())
+        if not d.max() > 0:
+            raise ValueError("all distances are zero")
+        a = np.exp(-d / d.max())
+        degree = a.sum(1) ** -alpha
+        a = a * degree[:, None] * degree[None]
+        root = np.sqrt(a.sum(1))
+        s = a / (root[:, None] * root[None])
+        val, vec = np.linalg.eigh((s + s.T) / 2.0)
+        order = np.argsort(-np.abs(val[::-1]), kind="stable")[: n_components + 1]
+        ev, y = np.zeros(n_components + 1), np.zeros((len(d), n_components + 1))
+        ev[: len(order)], y[:, : len(order)] = val[::-1][order], vec[:, ::-1][:, order]
+        if (np.abs(y[:, 0] / root) < 1e-30).any():
+            raise ValueError("stationary vector vanishes")
+        c = y[:, 1:] / y[:, :1] * ev[1:] / (1.0 - ev[1:])
+        lead = c[np.abs(c).argmax(0), np.arange(n_components)]
+        return pd.DataFrame({**{k: rows[k].to_numpy() for k in keys}, "v": rows["src"].to_numpy(), "emb": list(np.where(lead < 0, -c, c))})
+
+    typed = ", ".join(f"{k} {kinds[k]}" for k in keys)
+    return dist.groupBy(*keys).applyInPandas(solve, f"{typed}, v long, emb array<double>")
+
+
 def diffusion_map(dist: DataFrame, keys: Sequence[str], n_components: int, alpha: float = 0.5, tol: float = 1e-9, max_rounds: int = 200) -> DataFrame:
     """Leading non-trivial diffusion coordinates per vertex (array ``emb``).
 
+    Meshes of at most ``WHOLE`` vertices are solved whole, one in a task; the rest
+    by rounds over all of them (``iterated_map``). Coordinates are divided by the
+    stationary vector and scaled by ``l / (1 - l)``; each is signed so that its
+    entry of largest size is positive.
+    """
+    few = whole_map(dist.filter(F.size("dist") <= WHOLE), keys, n_components, alpha)
+    large = dist.filter(F.size("dist") > WHOLE)
+    return few if large.isEmpty() else few.unionByName(iterated_map(large, keys, n_components, alpha, tol, max_rounds))
+
+
+def iterated_map(dist: DataFrame, keys: Sequence[str], n_components: int, alpha: float = 0.5, tol: float = 1e-9, max_rounds: int = 200) -> DataFrame:
+    """The same by subspace iteration.
+
     The similarity matrix stays distributed by rows. A thin basis is multiplied by
     it block by block, and its small Gram matrices are summed by Spark; a
     Rayleigh-Ritz step turns the basis into eigenvectors. Rounds stop when the
     wanted eigenvalues of every mesh settle; if they don't within ``max_rounds``,
-    that is an error. Coordinates are divided by the
-    stationary vector and scaled by ``l / (1 - l)``; each is signed so that its
-    entry of largest size is positive.
+    that is an error.
     """
     keys = list(keys)
     kinds = dict(dist.dtypes)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from surfparc.operators import connectedness as con
-from surfparc.operators import graph, mesh, surface
+from surfparc.operators import diffusion, graph, mesh, surface
 from surfparc.operators.diffusion import diffusion_map
 
 
@@ -192,3 +192,22 @@ def test_diffusion_map_matches_dense_eigensolver(spark):
     emb = vec[:, 1:3] / vec[:, :1] * (val[1:3] / (1 - val[1:3]))
     emb *= np.sign(emb[np.abs(emb).argmax(0), [0, 1]])
     assert np.allclose(got, emb, atol=1e-5)
+
+
+def test_meshes_of_one_block_take_no_rounds_and_agree_with_them(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = []
+    for sub, n in ((0, 30), (1, 12), (2, 3)):
+        p = rng.normal(size=(n, 2))
+        rows += [(sub, i, [float(x) for x in np.linalg.norm(p[i] - p, axis=1)]) for i in range(n)]
+    df = spark.createDataFrame(rows, "sub long, src long, dist array<double>")
+    emb = lambda got: {(r["sub"], r.v): r.emb for r in got.collect()}
+    want = emb(diffusion.iterated_map(df, ["sub"], 4))
+    monkeypatch.setattr(diffusion, "WHOLE", 12)
+    mixed = emb(diffusion_map(df, ["sub"], 4))
+    monkeypatch.undo()
+    monkeypatch.delattr(diffusion, "block_apply")
+    whole = emb(diffusion_map(df, ["sub"], 4))
+    assert whole.keys() == mixed.keys() == want.keys()
+    for k, w in want.items():
+        assert whole[k] == pytest.approx(w, abs=1e-5) and mixed[k] == pytest.approx(w, abs=1e-5)
