@@ -76,3 +76,14 @@ def test_query_digests(spark, tmp_path):
     documents(spark, t).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op1_suffix_dedup(spark, str(tmp_path)).collect()}
     assert got == {k: (n, g, s, hashlib.sha256(b).hexdigest()) for k, (n, g, s, b) in enumerate(brute(t, 400))}
+
+
+def test_query_goes_by_400_bytes_not_by_words(spark, tmp_path):
+    words = " ".join(f"{k:05d}z" for k in range(60))
+    long, short = words[:400], words[1:400].upper()
+    assert (len(long), len(short)) == (400, 399) and min(len(x.split()) for x in (long, short)) > 50
+    t = [f"a{long}b", f"c{long}d{short}e", f"f{short}g"]
+    documents(spark, t).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op1_suffix_dedup(spark, str(tmp_path)).collect()}
+    kept = ["ab", f"cd{short}e", t[2]]
+    assert got == {k: (len(x), len(x) - len(y), int(x != y), hashlib.sha256(y.encode()).hexdigest()) for k, (x, y) in enumerate(zip(t, kept, strict=True))}
